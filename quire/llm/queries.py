@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.sharding import op2_sharding
 
@@ -15,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_sharding": op2_sharding,
+        "op4_near_dedup": op4_near_dedup,
         "op7_packing": op7_packing,
     }
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.sharding import op2_sharding
+from quire.llm.suffix_dedup import op8_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op4_near_dedup": op4_near_dedup,
         "op7_packing": op7_packing,
+        "op8_suffix_dedup": op8_suffix_dedup,
     }
 
 

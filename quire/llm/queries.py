@@ -10,6 +10,7 @@ from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.sharding import op2_sharding
 from quire.llm.suffix_dedup import op8_suffix_dedup
+from quire.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
+from quire.llm.pii import op6_pii
 from quire.llm.sharding import op2_sharding
 from quire.llm.suffix_dedup import op8_suffix_dedup
 from quire.llm.toxicity import op3_toxicity
@@ -20,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
+        "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
     }

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import read_table, text_or_empty
 
-PIECE = 64
-PER_BLOCK = 8
-WIDTHS = (16, 64, 256)
+PIECE = 96
+PER_BLOCK = 4
+WIDTHS = (10, 40, 160)
 ROUNDS = 24
 
 
@@ -84,9 +84,12 @@ def peel(cells: Column, width: int) -> Column:
             c["k"].bitwiseXOR(_xor(m, lambda p: p["k"])).alias("k"), c["c"].bitwiseXOR(_xor(m, lambda p: F.xxhash64(p["k"]))).alias("c")))
 
     def step(state: Column, _: Column) -> Column:
-        return let(pure(state["cells"]), lambda gone: F.when(F.size(gone) == 0, state).otherwise(F.struct(F.transform(state["cells"], lambda c, i: without(c, i, gone)).alias("cells"), F.concat(state["found"], gone).alias("found"))))
+        def take(gone: Column) -> Column:
+            return F.when(F.size(gone) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))).otherwise(F.struct(F.transform(state["cells"], lambda c, i: without(c, i, gone)).alias("cells"), F.concat(state["found"], gone).alias("found"), F.lit(True).alias("go")))
 
-    start = F.struct(cells.alias("cells"), empty.alias("found"))
+        return F.when(~state["go"], state).otherwise(let(pure(state["cells"]), take))
+
+    start = F.struct(cells.alias("cells"), empty.alias("found"), F.lit(True).alias("go"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct(
         F.size(F.filter(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))).alias("left"),
         F.transform(F.filter(s["found"], lambda p: p["n"] == 1), lambda p: p["k"]).alias("a"),

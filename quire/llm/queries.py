@@ -10,6 +10,7 @@ from quire.llm.fingerprint import op9_fingerprint
 from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.pii import op6_pii
+from quire.llm.sentencepieces import op1_sentencepiece
 from quire.llm.sharding import op2_sharding
 from quire.llm.suffix_dedup import op8_suffix_dedup
 from quire.llm.toxicity import op3_toxicity
@@ -19,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,

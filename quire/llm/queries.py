@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.fingerprint import op9_fingerprint
+from quire.llm.html_extract import op5_html_extraction
 from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.pii import op6_pii
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op2_sharding": op2_sharding,
         "op3_toxicity": op3_toxicity,
         "op4_near_dedup": op4_near_dedup,
+        "op5_html_extraction": op5_html_extraction,
         "op6_pii": op6_pii,
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,

@@ -19,16 +19,19 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the session's `spark.checkpoint.dir`; only where that is unset
-    (tests, one machine) a folder of our own is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder: the session's `spark.checkpoint.dir`; only where that is unset
+    (tests, one machine) a folder of our own."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it from there; its files go when it is no longer used."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

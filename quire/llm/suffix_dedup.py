@@ -164,7 +164,8 @@ def _batch_of(table: pa.Table, window: int, anchor: int) -> Batch:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", batch_bytes: int = BATCH_BYTES, with_text: bool = False) -> DataFrame:
-    """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `with_text`, the kept text.
+    """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with `with_text`, the kept text
+    and the MD5 of the whole text.
 
     A byte is removed if a `window`-byte string that covers it also starts in a document with a smaller
     id. Texts are UTF-8 bytes, null is empty; texts shorter than the window keep everything. A null
@@ -299,12 +300,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
         return pa.table({"m": pa.array(out[0], pa.int32()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out[0]), pa.int32()), "step": pa.array([2] * len(out[0]), pa.int32()), "body": pa.array(out[1], pa.binary())})
 
     settled = contexts.groupBy("bucket").applyInArrow(last_passes, answers)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if with_text else "")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string, text_md5 string" if with_text else "")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({n: pa.array([], pa.string() if n in ("kept_sha256", "text") else pa.int64()) for n in names})
+            return pa.table({n: pa.array([], pa.string() if n in ("kept_sha256", "text", "text_md5") else pa.int64()) for n in names})
         b = _batch_of(left, window, anchor)
         flags, masks = flags_of(b, right)
         e = b.run_entry
@@ -326,15 +327,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
         inner = b.begin[:-1][b.begin[:-1] < len(gone)]
         head[inner] = gone[inner]
         heads = np.concatenate([[0], np.cumsum(head)])
-        digests, texts = [], []
+        digests, texts, marks = [], [], []
         for lo, hi, n in zip(b.begin[:-1].tolist(), b.begin[1:].tolist(), n_removed.tolist()):
             own = b.data[lo:hi] if not n else b.data[lo:hi][kept[lo:hi]]
             raw = own.tobytes()
             digests.append(hashlib.sha256(raw).hexdigest())
             if with_text:
                 texts.append(raw.decode("utf-8", "ignore"))
+                marks.append(hashlib.md5(b.data[lo:hi].tobytes()).hexdigest())
         cols = [pa.array(b.ids), pa.array(np.diff(b.begin)), pa.array(n_removed), pa.array(heads[b.begin[1:]] - heads[b.begin[:-1]]), pa.array(digests, pa.string())]
-        return pa.table(dict(zip(names, cols + ([pa.array(texts, pa.string())] if with_text else []))))
+        return pa.table(dict(zip(names, cols + ([pa.array(texts, pa.string()), pa.array(marks, pa.string())] if with_text else []))))
 
     out = batches.cogroup(judged.unionByName(settled).groupBy("m")).applyInArrow(finish, schema)
     return out.withColumn("doc_id", F.expr("nullif(doc_id, -9223372036854775807 - 1)"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.fingerprint import op9_fingerprint
 from quire.llm.html_extract import op5_html_extraction
+from quire.llm.media import op10_media
 from quire.llm.near_dedup import op4_near_dedup
 from quire.llm.packing import op7_packing
 from quire.llm.pii import op6_pii
@@ -30,6 +31,7 @@ def queries() -> dict[str, Query]:
         "op7_packing": op7_packing,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_fingerprint": op9_fingerprint,
+        "op10_media": op10_media,
     }
 
 

@@ -1,0 +1,116 @@
+"""Scalar text functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Letters with marks and what they fold to; fixed values (Latin-1 and Latin Extended-A letters in common use).
+MARKED = "àáâãäåāăąçćčďèéêëēęěìíîïīłñńňòóôõöøōőŕřśšťùúûüūůűýÿźżž"
+PLAIN = "aaaaaaaaacccdeeeeeeeiiiiilnnnoooooooorrsstuuuuuuuyyzzz"
+#: Characters that end a line within a word; fixed values.
+HYPHENS = "-\u00ad\u2010\u2011\u2012\u2013\u2014\u2212\ufe63"
+#: Words that give away what only the game master may know; fixed values.
+GM_ONLY_KEYWORDS = ("secret", "gm only", "hidden", "trap", "ambush", "betrayal", "true identity", "villain", "twist")
+
+STRIP = r"^\s+|\s+$"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, STRIP, "")
+
+
+def squeeze(c: Column) -> Column:
+    """White space runs as one space, trimmed, in lower case."""
+    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+
+
+def fold_key(c: Column) -> Column:
+    """A key that ignores case, marks and outer white space."""
+    return F.translate(F.replace(F.lower(strip(c)), F.lit("ß"), F.lit("ss")), MARKED, PLAIN)
+
+
+def strip_format(c: Column) -> Column:
+    """Without format, private-use and surrogate characters, trimmed."""
+    return strip(F.regexp_replace(c, r"[\p{Cf}\p{Co}\p{Cs}]", ""))
+
+
+def strip_layout_glyphs(c: Column) -> Column:
+    """Line by line: wide spaces to spaces, icons and controls dropped, a leading lone W dropped, blank lines dropped."""
+    line = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[  ]", " "), r"[-\x00-\x08\x0B-\x1F\x7F-\x9F]", ""), r"^W\s+", ""))
+    return F.array_join(F.filter(F.transform(F.split(c, "\n"), line), lambda x: (x != "") & (x != "W")), "\n")
+
+
+def has_icons(c: Column) -> Column:
+    return c.rlike(r"[-]") | F.exists(F.split(c, "\n"), lambda x: F.trim(x) == "W")
+
+
+def repair_attack_separator(c: Column) -> Column:
+    return F.replace(c, F.lit("Åàé"), F.lit("· DM"))
+
+
+def drop_leaked_titles(c: Column) -> Column:
+    """An ability's body without short title lines that leaked into it."""
+    leaked = lambda x: (F.length(x) <= 20) & ~x.rlike(r"[.!?,;:]$") & ~F.lower(x).rlike(r"\b(le|la|les|un|une|des|du|de|et|à)\b") & (F.length(F.regexp_replace(x, r"[^\p{Lu}]", "")) >= 2)
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~leaked(x)), "\n")
+
+
+def reflow(c: Column) -> Column:
+    """Paragraphs (blank line between) on one line each; a hyphen at a line's end joins it to the next."""
+    def paragraph(p: Column) -> Column:
+        lines = F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != "")
+        joined = F.aggregate(lines, F.lit(""), lambda a, x: F.when(a == "", x).when(a.rlike(f"[{HYPHENS}]$"), F.concat(F.regexp_replace(a, f"[{HYPHENS}]$", ""), x)).otherwise(F.concat(a, F.lit(" "), x)))
+        return strip(F.regexp_replace(joined, " {2,}", " "))
+
+    return F.array_join(F.filter(F.transform(F.split(c, r"\n\s*\n"), paragraph), lambda x: x != ""), "\n\n")
+
+
+def preview(c: Column, limit: int = 200) -> Column:
+    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.regexp_replace(F.substring(c, 1, limit - 1), r"\s+$", ""), F.lit("…")))
+
+
+def first_keyword(c: Column, words: tuple[str, ...] = GM_ONLY_KEYWORDS) -> Column:
+    """The first word of the list (in its order) that the text contains."""
+    return F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w)), F.lit(0))
+
+
+def contains_any(c: Column, markers: tuple[str, ...], fold: bool = False) -> Column:
+    key = fold_key if fold else F.lower
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(key(c), key(m)))
+
+
+def number_or_null(c: Column) -> Column:
+    return F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))
+
+
+def is_slug(c: Column) -> Column:
+    return c.rlike("^[a-z0-9][a-z0-9_-]{0,63}$")
+
+
+def slug_from_filename(c: Column, default: str = "campagne") -> Column:
+    base = F.regexp_replace(F.regexp_replace(fold_key(F.regexp_replace(c, r"(?i)\.pdf$", "")), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    base = F.when(base == "", F.lit(default)).otherwise(base)
+    return F.substring(base, 1, 64)
+
+
+def url_name(c: Column) -> Column:
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
+def from_url_name(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def fold_apostrophes(c: Column) -> Column:
+    return F.trim(F.translate(c, "\u2018\u2019", "''"))
+
+
+def safe_filename(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)[^\w.\-]", "_")
+
+
+def section_title(c: Column) -> Column:
+    """Glyphs stripped; a title in capitals on several lines becomes one line."""
+    t = strip_format(c)
+    return F.when(F.contains(t, F.lit("\n")) & (F.upper(t) == t), F.regexp_replace(t, r"\s+", " ")).otherwise(t)

@@ -82,10 +82,9 @@ def _letters(base: Column, seed: Column) -> Column:
         at = F.length(F.regexp_replace(F.substring(base, F.lit(1), i), "[^A-Za-z0-9]", ""))
         n = _number(seed, at, 1 << 30)
         digit = F.when(at == 0, F.lit(1) + F.pmod(n, F.lit(9))).otherwise(F.pmod(n, F.lit(10))).cast("string")
-        return (
-            F.when(c.rlike("^[0-9]$"), F.when((at == 0) & (c == "0"), c).otherwise(digit)).when(c.rlike("^[a-f]$"), F.substring(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1)))
-            .when(c.rlike("^[g-z]$"), F.substring(F.lit("ghijklmnopqrstuvwxyz"), F.pmod(n, F.lit(20)) + 1, F.lit(1))).when(c.rlike("^[A-Z]$"), F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.pmod(n, F.lit(26)) + 1, F.lit(1))).otherwise(c)
-        )
+        small = F.lower(c)
+        letter = F.when(small.rlike("^[a-f]$"), F.substring(F.lit("abcdef"), F.pmod(n, F.lit(6)) + 1, F.lit(1))).otherwise(F.substring(F.lit("ghijklmnopqrstuvwxyz"), F.pmod(n, F.lit(20)) + 1, F.lit(1)))
+        return F.when(c.rlike("^[0-9]$"), F.when((at == 0) & (c == "0"), c).otherwise(digit)).when(c.rlike("^[A-Z]$"), F.upper(letter)).when(c.rlike("^[a-z]$"), letter).otherwise(c)
 
     return F.array_join(F.transform(chars, one), "")
 

@@ -5,8 +5,8 @@ deals the digests by their low bits into blocks of a few digests each, and holds
 three rows of cells; a digest is in one cell of each row. A cell keeps a count, the digests' XOR and the
 XOR of a check hash. Sketches of one geometry subtract cell by cell; what both have cancels, and peeling
 (a cell with one digest left gives it away, it is taken out of its other cells, and so on) recovers the
-digests that differ. If a peeling ends with cells left, both sketches are built anew with wider rows.
-Cost is linear in the digests but for dealing them into blocks.
+digests that differ. A block whose peeling ends with cells left is built anew with wider rows.
+Blocks of a sketch add up to one block, whose cells do not depend on the number of blocks: the fingerprint.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import read_table, text_or_empty
 
-PIECE = 96
-PER_BLOCK = 4
-WIDTHS = (10, 40, 160)
-ROUNDS = 24
+PIECE = 160
+PER_BLOCK = 8
+WIDTHS = (8, 24, 96)
+ROUNDS = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,24 +49,34 @@ def _xor(values: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(of(d)))
 
 
-def sketch(values: Column, blocks: Column, width: int) -> Column:
-    """array<blocks> of array<3 * width> of cells (n, k, c)."""
+def block_cells(own: Column, width: int) -> Column:
+    """3 * width cells (n, k, c) of the digests of one block."""
 
-    def cell(own: Column) -> Column:
-        return F.struct(F.size(own).alias("n"), _xor(own, lambda d: d).alias("k"), _xor(own, lambda d: F.xxhash64(d)).alias("c"))
+    def cell(mine: Column) -> Column:
+        return F.when(F.size(mine) == 0, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))).otherwise(F.struct(F.size(mine).alias("n"), _xor(mine, lambda d: d).alias("k"), _xor(mine, lambda d: F.xxhash64(d)).alias("c")))
 
-    def row(own: Column, r: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: let(F.filter(own, lambda d: _slot(d, r, width) == j), cell))
+    def row(r: int) -> Column:
+        # the digests' slots once, then a cell for each slot
+        placed = F.transform(own, lambda d: F.struct(_slot(d, r, width).alias("s"), d.alias("d")))
+        return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: let(F.transform(F.filter(p, lambda x: x["s"] == j), lambda x: x["d"]), cell)))
 
-    def rows(own: Column) -> Column:
-        return F.concat(*(row(own, r) for r in range(3)))
+    return F.concat(*(row(r) for r in range(3)))
 
+
+def dealt(values: Column, blocks: Column) -> Column:
+    """array<blocks> of the digests of each block."""
     mask = (blocks - 1).cast("long")
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: let(F.filter(values, lambda d: d.bitwiseAND(mask) == b), rows))
+    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.filter(values, lambda d: d.bitwiseAND(mask) == b))
+
+
+def sketch(values: Column, width: int) -> Column:
+    """array<blocks> of cells, of digests dealt into blocks."""
+    return F.transform(values, lambda own: block_cells(own, width))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["c"].bitwiseXOR(q["c"]).alias("c"))))
+    """The difference of two blocks' cells."""
+    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["c"].bitwiseXOR(q["c"]).alias("c")))
 
 
 def peel(cells: Column, width: int) -> Column:
@@ -76,16 +86,21 @@ def peel(cells: Column, width: int) -> Column:
     def pure(x: Column) -> Column:
         return F.array_distinct(F.transform(F.filter(x, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == F.xxhash64(c["k"]))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
 
-    def without(c: Column, i: Column, gone: Column) -> Column:
-        row = F.floor(i / width).cast("int")
-        mine = F.filter(gone, lambda p: F.when(row == 0, _slot(p["k"], 0, width)).when(row == 1, _slot(p["k"], 1, width)).otherwise(_slot(p["k"], 2, width)) == i - row * width)
-        return let(mine, lambda m: F.struct(
-            (c["n"] - F.aggregate(m, F.lit(0), lambda a, p: a + p["n"])).alias("n"),
-            c["k"].bitwiseXOR(_xor(m, lambda p: p["k"])).alias("k"), c["c"].bitwiseXOR(_xor(m, lambda p: F.xxhash64(p["k"]))).alias("c")))
+    def without(x: Column, gone: Column) -> Column:
+        marked = F.transform(gone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), F.array(*(_slot(p["k"], r, width) + r * width for r in range(3))).alias("at")))
+
+        def take(m: Column) -> Column:
+            return F.struct(F.aggregate(m, F.lit(0), lambda a, p: a + p["n"]).alias("n"), _xor(m, lambda p: p["k"]).alias("k"), _xor(m, lambda p: F.xxhash64(p["k"])).alias("c"))
+
+        def rest(c: Column, i: Column, m: Column) -> Column:
+            mine = F.filter(m, lambda p: F.array_contains(p["at"], i))
+            return let(mine, lambda y: F.when(F.size(y) == 0, c).otherwise(let(take(y), lambda t: F.struct((c["n"] - t["n"]).alias("n"), c["k"].bitwiseXOR(t["k"]).alias("k"), c["c"].bitwiseXOR(t["c"]).alias("c")))))
+
+        return let(marked, lambda m: F.transform(x, lambda c, i: F.when((c["n"] == 0) & (c["k"] == 0), c).otherwise(rest(c, i, m))))
 
     def step(state: Column, _: Column) -> Column:
         def take(gone: Column) -> Column:
-            return F.when(F.size(gone) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))).otherwise(F.struct(F.transform(state["cells"], lambda c, i: without(c, i, gone)).alias("cells"), F.concat(state["found"], gone).alias("found"), F.lit(True).alias("go")))
+            return F.when(F.size(gone) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))).otherwise(F.struct(without(state["cells"], gone).alias("cells"), F.concat(state["found"], gone).alias("found"), F.lit(True).alias("go")))
 
         return F.when(~state["go"], state).otherwise(let(pure(state["cells"]), take))
 
@@ -96,20 +111,21 @@ def peel(cells: Column, width: int) -> Column:
         F.transform(F.filter(s["found"], lambda p: p["n"] == -1), lambda p: p["k"]).alias("b")))
 
 
-def _decoded(a: Column, b: Column, blocks: Column, width: int) -> Column:
-    """The difference of two digest arrays by sketches of one geometry; `left` is 0 if it is whole."""
-    peeled = F.transform(subtract(sketch(a, blocks, width), sketch(b, blocks, width)), lambda cells: peel(cells, width))
-    return let(peeled, lambda p: F.struct(F.aggregate(p, F.lit(0), lambda s, x: s + x["left"]).alias("left"), F.flatten(F.transform(p, lambda x: x["a"])).alias("a"), F.flatten(F.transform(p, lambda x: x["b"])).alias("b")))
+def _block_difference(a: Column, b: Column, cells: Column) -> Column:
+    """(left, a, b) of a block: from the subtracted cells, from wider ones on failure, at last from the digests."""
+    exact = F.struct(F.lit(0).alias("left"), F.array_except(a, b).alias("a"), F.array_except(b, a).alias("b"))
+
+    def attempt(widths: tuple[int, ...], subtracted: Column) -> Column:
+        wider = attempt(widths[1:], subtract(block_cells(a, widths[1]), block_cells(b, widths[1]))) if len(widths) > 1 else exact
+        return let(peel(subtracted, widths[0]), lambda p: F.when(p["left"] == 0, p).otherwise(wider))
+
+    return attempt(WIDTHS, cells)
 
 
-def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """`df` with `out`: the digests (a, b) that only array column `a`, only array column `b` has, by sketches."""
-    df = df.withColumn("_blocks", blocks_for(F.greatest(F.size(a), F.size(b))))
-    df = df.withColumn(out, F.lit(None).cast("struct<left:int,a:array<bigint>,b:array<bigint>>"))
-    for width in WIDTHS:
-        df = df.withColumn(out, F.when(F.col(f"{out}.left") == 0, F.col(out)).otherwise(_decoded(F.col(a), F.col(b), F.col("_blocks"), width)))
-    last = F.struct(F.lit(0).alias("left"), F.array_except(a, b).alias("a"), F.array_except(b, a).alias("b"))
-    return df.withColumn(out, F.when(F.col(f"{out}.left") == 0, F.col(out)).otherwise(last)).drop("_blocks")
+def difference(a: str, b: str, sa: str, sb: str) -> Column:
+    """(a, b): how many digests only the one, only the other side has. Dealt digests in `a`, `b`, sketches in `sa`, `sb`."""
+    rows = F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.col(sa).alias("x"), F.col(sb).alias("y")), lambda r: _block_difference(r["a"], r["b"], subtract(r["x"], r["y"])))
+    return let(rows, lambda p: F.struct(F.flatten(F.transform(p, lambda x: x["a"])).alias("a"), F.flatten(F.transform(p, lambda x: x["b"])).alias("b")))
 
 
 def likeness(count_a: Column, count_b: Column, difference: Column) -> Column:
@@ -119,11 +135,11 @@ def likeness(count_a: Column, count_b: Column, difference: Column) -> Column:
     return F.when(count_a + count_b == 0, F.lit(1.0)).otherwise(common / (count_a + count_b - common))
 
 
-def fingerprint(values: Column) -> Column:
-    """The sketch of a text (its first geometry) as a string: geometry and a digest of the cells."""
-    blocks = blocks_for(F.size(values))
-    cells = let(F.array_sort(values), lambda v: F.sha2(F.to_json(F.struct(sketch(v, blocks, WIDTHS[0]).alias("s"))), 256))
-    return F.concat(blocks.cast("string"), F.lit(f"x{3 * WIDTHS[0]}-"), cells)
+def fingerprint(sketched: Column) -> Column:
+    """The sum of a sketch's blocks as a string: geometry and two hashes of the cells."""
+    none = F.transform(F.sequence(F.lit(1), F.lit(3 * WIDTHS[0])), lambda _: F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")))
+    cells = F.aggregate(sketched, none, lambda s, x: F.zip_with(s, x, lambda p, q: F.struct((p["n"] + q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["c"].bitwiseXOR(q["c"]).alias("c"))))
+    return let(cells, lambda c: F.concat(F.lit(f"1x{3 * WIDTHS[0]}-"), F.lower(F.lpad(F.hex(F.xxhash64(c)), 16, "0")), F.lower(F.lpad(F.hex(F.xxhash64(F.lit(1), c)), 16, "0"))))
 
 
 def with_next(docs: DataFrame, doc_id: str, column: str, out: str) -> DataFrame:
@@ -164,12 +180,14 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("after", F.lit(1), cut)))
     rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("_own"), digests(F.col("edited")).alias("_new"), digests(F.col("after")).alias("_next"))
-    rows = with_difference(rows, "_own", "_new", "_de")
-    rows = with_difference(rows, "_own", "_next", "_dn")
-    sizes = {c: F.size(c) for c in ("_own", "_new", "_next")}
+    sides = ("_own", "_new", "_next")
+    rows = rows.withColumn("_blocks", blocks_for(F.greatest(*(F.size(c) for c in sides))))
+    rows = rows.withColumns({f"{c}_size": F.size(c) for c in sides} | {f"{c}_dealt": dealt(F.col(c), F.col("_blocks")) for c in sides})
+    rows = rows.withColumns({f"{c}_cells": sketch(F.col(f"{c}_dealt"), WIDTHS[0]) for c in sides})
+    rows = rows.withColumns({f"_d{c}": difference("_own_dealt", f"{c}_dealt", "_own_cells", f"{c}_cells") for c in ("_new", "_next")})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"),
-        likeness(sizes["_own"], sizes["_new"], F.col("_de")).alias("near_edited"), likeness(sizes["_own"], sizes["_next"], F.col("_dn")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own_cells")).alias("fingerprint"), fingerprint(F.col("_new_cells")).alias("edited_fingerprint"),
+        likeness(F.col("_own_size"), F.col("_new_size"), F.col("_d_new")).alias("near_edited"), likeness(F.col("_own_size"), F.col("_next_size"), F.col("_d_next")).alias("near_next"),
     )
 
 

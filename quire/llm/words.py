@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
 #: White space outside ASCII (Unicode property White_Space); fixed values.
 WIDE_SPACE = re.compile("[\u0085\u00a0\u1680\u2000-\u200a\u2028-\u2029\u202f\u205f\u3000]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
-@cache
+@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64 and of its inverse, for a power of two of places."""
     r = 0xD1342543DE82EF95
@@ -37,7 +37,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes (spans may overlap)."""
-    up, down = powers(1 << max(10, int(len(data)).bit_length()))
+    up, down = powers(1 << max(21, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte_codes()[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MULTIPLIER)

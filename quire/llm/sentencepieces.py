@@ -62,16 +62,20 @@ class PieceModel:
             for k in range(1, len(x)):
                 if x[:k] in of and x[k:] in of:
                     a.append(of[x[:k]]), b.append(of[x[k:]]), c.append(i)
+        self.singles = np.array(sorted(self.char), np.int64)
         self.width = np.int64(n + 1)
         keys = np.array(a, np.int64) * self.width + np.array(b, np.int64)
         sort = np.argsort(keys)
         self.pairs, self.joined = keys[sort], np.array(c, np.int64)[sort]
         self._split(multi, names)
-        self.codes = sorted({ord(ch) for i in plain.tolist() for ch in names[i]})
         self.strings = [np.array([ord(ch) for ch in names[i]], np.int64) for i in plain.tolist()]
         self.plain = plain
         good = np.array([self.length[i] == 1 or self.left[i] >= 0 for i in plain.tolist()])
-        self.plain, self.strings = plain[good], [s for s, g in zip(self.strings, good) if g]
+        self.plain = plain[good]
+        self.letters = np.zeros((len(self.plain), self.depth), np.int64)
+        for i, s in enumerate(s for s, g in zip(self.strings, good) if g):
+            self.letters[i, : len(s)] = s
+        del self.strings
         self.unknown = n
         self.clear()
 
@@ -141,26 +145,24 @@ class PieceModel:
         order = np.lexsort(digits[::-1])
         width = 8 * count
         text = np.ascontiguousarray(digits[:, order].T.astype(">u8")).view(f"S{width}").ravel()
-        rank = {c: i + 1 for i, c in enumerate(alphabet.tolist())}
-        low, high, ids = [], [], []
-        for i, s in zip(self.plain.tolist(), self.strings):
-            own = [rank.get(c) for c in s.tolist()]
-            if None in own:
-                continue
-            lo = hi = b""
-            for d in range(count):
-                x = y = 0
-                for k in range(d * per, (d + 1) * per):
-                    x = x << bits | (own[k] if k < len(own) else 0)
-                    y = y << bits | (own[k] if k < len(own) else (1 << bits) - 1)
-                lo, hi = lo + x.to_bytes(8, "big"), hi + y.to_bytes(8, "big")
-            low.append(lo), high.append(hi), ids.append(i)
-        if not ids:
+        # the pieces in the same digits: padded with nothing for the lower bound, with all bits for the upper
+        at = np.minimum(np.searchsorted(alphabet, self.letters), len(alphabet) - 1)
+        mine = np.arange(self.depth) < self.length[self.plain][:, None]
+        usable = ((alphabet[at] == self.letters) | ~mine).all(axis=1)
+        at, mine, ids = at[usable] + 1, mine[usable], self.plain[usable]
+        bounds = []
+        for pad in (0, (1 << bits) - 1):
+            key = np.zeros((len(ids), count), np.int64)
+            for i in range(count * per):
+                here = np.where(mine[:, i], at[:, i], pad) if i < self.depth else pad
+                key[:, i // per] = key[:, i // per] << bits | here
+            bounds.append(np.ascontiguousarray(key.astype(">u8")).view(f"S{width}").ravel())
+        if not len(ids):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        first = np.searchsorted(text, np.array(low, f"S{width}"), "left")
-        last = np.searchsorted(text, np.array(high, f"S{width}"), "right")
+        first = np.searchsorted(text, bounds[0], "left")
+        last = np.searchsorted(text, bounds[1], "right")
         start = order[ragged(first, last - first)]
-        return start, np.repeat(np.array(ids, np.int64), last - first)
+        return start, np.repeat(ids, last - first)
 
     def encode_words(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as code points one after another, and how many each word has."""
@@ -168,13 +170,13 @@ class PieceModel:
         first = np.cumsum(lengths) - lengths
         word = np.repeat(np.arange(len(lengths)), lengths)
         start, piece = self._edges(codes, (first + lengths)[word])
-        known = np.isin(codes, np.array(sorted(self.char), np.int64))
-        strange = np.flatnonzero(~known)
+        at = np.minimum(np.searchsorted(self.singles, codes), len(self.singles) - 1)
+        strange = np.flatnonzero(self.singles[at] != codes)
         start, piece = np.concatenate([start, strange]), np.concatenate([piece, np.full(len(strange), self.unknown)])
         size = np.where(piece == self.unknown, 1, self.length[np.minimum(piece, self.unknown - 1)])
         end = start + size - 1
         offset = end - first[word[start]]
-        order = np.lexsort((-size, end, offset))
+        order = np.argsort(offset << 35 | end << 5 | (31 - np.minimum(size, 31)))  # by offset, end, longest first
         start, piece, end, offset = start[order], piece[order], end[order], offset[order]
         kept = np.full(n, -1, np.int64)
         bounds = np.searchsorted(offset, np.arange(int(offset.max()) + 2)) if len(offset) else [0]

@@ -129,6 +129,41 @@ def test_hot_bucket_keeps_small_families(spark):
     assert all(got[1000 + i] == i for i in range(0, 120, 10)) and sum(k == v for k, v in got.items()) == 120
 
 
+def test_large_buckets_lose_no_links(spark):
+    rng = np.random.default_rng(12)
+    shared = words(60, 154)
+    rows = [(i, f"{shared} {words(2000 + i, 30)}".split()) for i in range(400)]
+    for i in range(0, 400, 4):
+        w = list(rows[i][1])
+        for at in rng.choice(len(w) - 8, 3, replace=False):
+            w[at] = f"changed{i}x{at}"
+        rows.append((1000 + i, w))
+    kmers = {i: shingles(" ".join(w)) for i, w in rows}
+    near = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    alone = [near(kmers[i], kmers[j]) for i in range(60) for j in range(i)]
+    planted = [i for i in range(0, 400, 4) if near(kmers[i], kmers[1000 + i])]
+    assert not any(alone) and len(planted) > 40
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()}
+    assert [i for i in planted if got[1000 + i] != got[i]] == []
+
+
+def test_block_links_are_those_of_brute_force():
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, 12)) for _ in range(150)]
+    texts += [t + " w1" for t in texts[:40]]
+    flat, begin = near_dedup.labelled_kmers(texts, 2)
+    kmers = [flat[begin[i] : begin[i + 1]] for i in range(len(texts))]
+    left, right = np.arange(0, 100), np.arange(100, len(texts))
+    assert (near_dedup.shared_kmers(kmers[:100], kmers[100:]) == [[len(np.intersect1d(a, b)) for b in kmers[100:]] for a in kmers[:100]]).all()
+    nodes = [str(i) for i in range(len(texts))]
+    got = {(a, b) for a, b, _ in near_dedup.block_links(nodes, nodes, kmers, left, right, 0.8)}
+    want = {(str(a), str(b)) for a in left for b in right if near_dedup.aligned(kmers[a], kmers[b], 0.8)}
+    assert got <= want and len(got) >= 30
+    ends = lambda pairs: {x for p in pairs for x in p}
+    assert ends(got) == ends(want)
+
+
 def test_html(spark):
     page = lambda body, foot="": f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><a>menu</a></nav><div class='cookie-notice'>ok?</div><header>Top</header>{body}<aside>side</aside><div id=comments><p>me too</p></div><footer>{foot}</footer></body></html>"
     assert html_extract.main_text(page("<article><h1>A &amp; B</h1><p>one<br>two <b>three</b><p>four<form><input>x</form><div class=ad>buy</div><script>var a='</p>'</script></article>")) == "A & B\n\none two three\n\nfour"

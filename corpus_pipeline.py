@@ -30,11 +30,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; of rows with that id, one of each text."""
-    classes = near_dedup.near_classes(docs).where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id", "class_id", "node").distinct()
-    kept = docs.withColumn("_node", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    first = classes.groupBy("class_id").agg(F.min("node").alias("_node")).withColumnRenamed("class_id", "_id")
-    return kept.join(first, (kept["_node"] == first["_node"]) & kept["doc_id"].eqNullSafe(first["_id"])).select(*(kept[c] for c in COLUMNS)).dropDuplicates(["doc_id", "text"])
+    """The document with the smallest id of each class of near copies (a null id last), one text of each class."""
+    classes = near_dedup.near_classes(docs)
+    first = classes.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_id"), F.col("node").alias("_node"))).alias("m")).select("m._id", "m._node")
+    kept = docs.withColumn("_own", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return kept.join(first, (kept["_own"] == first["_node"]) & kept["doc_id"].eqNullSafe(first["_id"])).select(*(kept[c] for c in COLUMNS)).dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -334,3 +334,11 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in out} == {*range(40), 50, 51, 52}
     cut = corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert cut.columns == list(corpus_pipeline.COLUMNS) and rows[6][1][:150] not in cut.where("doc_id = 51").first()["text"]
+
+
+def test_near_copies_keep_one_of_each_class(spark):
+    rows = [(None, words(700 + i, 60), "en", "s", 0) for i in range(4)] + [(7, words(710 + i, 60), "en", "s", 0) for i in range(3)]
+    rows += [(None, rows[4][1] + " more", "en", "s", 0), (8, rows[0][1] + " more", "en", "s", 0), (9, rows[5][1], "en", "s", 0), rows[1]]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    want = [*rows[1:7], rows[8]]
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in got) == sorted((repr(i), t) for i, t, *_ in want)

@@ -7,7 +7,9 @@ letters of the same case and script, separators stay, octets stay octets, domain
 a titled name gets a given name of the title's gender in the name's script.
 
 Distinctness is checked over the whole input: entities whose surrogates meet, or whose surrogate is an
-entity that occurs, move to their next attempt until nothing meets. Then the texts with entities are rewritten.
+entity that occurs, move to their next attempt until nothing meets. From attempt `WIDE` on, the surrogate
+may leave its narrow form (octets of any length, longer local parts, names, keys and secrets), for forms
+with fewer surrogates than entities. Then the texts with entities are rewritten.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut_lineage, read_table
 
 KEY = "surrogate"
+#: The attempt from which surrogates take a wider form, and the rounds after which to give up.
+WIDE = 12
+ROUNDS = 200
 #: Titles and given names by gender and script; fixed values.
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Mme|Madame|Señora|Sra|г-жа", "m": "Mr|Herr|Monsieur|Señor|Sr|г-н"}
 GIVEN = {
@@ -94,10 +99,10 @@ def _pick(words: str, seed: Column, i: int) -> Column:
     return F.element_at(F.array(*map(F.lit, all_)), _number(seed, i, len(all_)) + 1)
 
 
-def _name(value: Column, seed: Column, gender: str) -> Column:
+def _name(value: Column, seed: Column, gender: str, wide: Column) -> Column:
     def of(script: str) -> Column:
-        made = F.concat(*(_pick(SYLLABLES[script], seed, i) for i in range(1, 5)))
-        family = F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, 2, 20))
+        made = F.concat(*(_pick(SYLLABLES[script], seed, i) for i in range(1, 5)), F.when(wide, F.concat(*(_pick(SYLLABLES[script], seed, i) for i in range(5, 8)))).otherwise(""))
+        family = F.concat(F.upper(F.substring(made, 1, 1)), F.substring(made, 2, 30))
         return F.when(value.contains(" "), F.concat(_pick(GIVEN[gender, script], seed, 0), F.lit(" "), family)).otherwise(family)
 
     return F.when(value.rlike(r"^\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
@@ -121,28 +126,33 @@ def with_surrogates(df: DataFrame, key: str = KEY) -> DataFrame:
         "_mark": F.regexp_extract(e, r"^(AKIA|ghp_|sk-|xox[bp]-|[A-Z]{2}(?=[0-9]{2})|\+[0-9]{1,3}(?=[^0-9]))", 1),
     })
     df = df.withColumns({"_host_seed": F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.lower("_host")), 256), "_rest": F.expr("substring(e, length(_mark) + 1)")})
-    seed = F.col("_seed")
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: F.when(F.length(o) == 1, _number(seed, i, 9) + 1).when(F.length(o) == 2, _number(seed, i, 90) + 10).otherwise(_number(seed, i, 156) + 100).cast("string")), ".")
+    seed, wide = F.col("_seed"), F.col("attempt") >= WIDE
+    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: F.when(wide, _number(seed, i, 255) + 1).when(F.length(o) == 1, _number(seed, i, 9) + 1).when(F.length(o) == 2, _number(seed, i, 90) + 10).otherwise(_number(seed, i, 156) + 100).cast("string")), ".")
     # one pass over letters for whatever part is replaced
     df = df.withColumn("_base", F.when(k == "email", F.col("_local")).when(k == "secret", F.col("_value")).otherwise(F.col("_rest")))
     df = df.withColumns({"_swapped": _letters(F.col("_base"), seed), "_domain": F.when(k == "email", _letters(F.col("_host"), F.col("_host_seed")))})
+    # a wide one is longer, within its closing quote
+    longer = F.concat(F.regexp_replace("_swapped", "[\"']$", ""), F.substring(F.sha2(F.concat(seed, F.lit("/wide")), 256), 1, 12), F.regexp_extract("_swapped", "[\"']$", 0))
+    df = df.withColumn("_swapped", F.when(wide & k.isin("email", "secret", "key"), longer).otherwise(F.col("_swapped")))
     made = (
-        F.when(k == "email", F.concat("_swapped", F.lit("@"), "_domain", "_top")).when(k == "ip", octets).when(k == "secret", F.concat("_head", "_swapped")).when(k == "name_f", F.concat("_title", _name(F.col("_value"), seed, "f")))
-        .when(k == "name_m", F.concat("_title", _name(F.col("_value"), seed, "m"))).otherwise(F.concat("_mark", "_swapped"))
+        F.when(k == "email", F.concat("_swapped", F.lit("@"), "_domain", "_top")).when(k == "ip", octets).when(k == "secret", F.concat("_head", "_swapped")).when(k == "name_f", F.concat("_title", _name(F.col("_value"), seed, "f", wide)))
+        .when(k == "name_m", F.concat("_title", _name(F.col("_value"), seed, "m", wide))).otherwise(F.concat("_mark", "_swapped"))
     )
     return df.withColumn("s", made).select("e", "k", "name", "attempt", "s")
 
 
-def surrogates(found: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
+def surrogates(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
     """(e, s) for the distinct entities `found` (column e): their surrogates, distinct where the entities' names are.
 
     A name keeps its attempt unless its surrogate's name is that of a smaller name's surrogate or of an
-    entity that occurs; then it goes on to the next attempt.
+    entity that occurs; then it goes on to the next attempt. Raises if names still meet after `rounds`.
     """
     table = cut_lineage(_named(found.distinct(), "e").withColumn("attempt", F.lit(0)))
     taken = table.select(F.col("name").alias("made")).distinct()
+    kept = None
     for _ in range(rounds):
-        made = cut_lineage(_named(with_surrogates(table, key), "s", "2").withColumnRenamed("name2", "made").drop("k2"))
+        made = _named(with_surrogates(table, key), "s", "2").withColumnRenamed("name2", "made").drop("k2")
+        made = cut_lineage(made if kept is None else kept.unionByName(made))
         pairs = made.select("made", "name").distinct()
         met = pairs.groupBy("made").agg(F.min("name").alias("_first"), F.count(F.lit(1)).alias("_n"))
         clash = met.where("_n > 1").select("made", "_first").unionByName(met.join(taken, "made", "left_semi").select("made", F.lit(None).cast("string").alias("_first")))
@@ -150,7 +160,10 @@ def surrogates(found: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
         moved = cut_lineage(pairs.join(clash, "made").where("_first <> name").select("name").distinct())
         if moved.isEmpty():
             break
-        table = cut_lineage(made.join(moved.withColumn("_up", F.lit(1)), "name", "left").select("e", "k", "name", (F.col("attempt") + F.coalesce("_up", F.lit(0))).alias("attempt")))
+        kept = made.join(moved, "name", "left_anti")
+        table = made.join(moved, "name", "left_semi").select("e", "k", "name", (F.col("attempt") + 1).alias("attempt"))
+    else:
+        raise RuntimeError(f"surrogates still meet after {rounds} rounds")
     return made.select("e", "s")
 
 

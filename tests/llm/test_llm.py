@@ -206,6 +206,16 @@ def test_surrogates_stay_distinct(spark):
     assert len(got) == 81 and len(set(got.values())) == 81 and not set(got.values()) & set(octets)
 
 
+def test_surrogates_of_a_full_form(spark):
+    found = [f"{a}.{i}.{j}.{k}" for a in range(1, 10) for i in range(10) for j in range(10) for k in range(10)]  # 9000 for 6561 surrogates
+    found += [f"{i}@x.example" for i in range(10)] + [f"{c}@x.example" for c in "abcdef"]
+    got = {r["e"]: r["s"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in found], "e string")).collect()}
+    assert set(got) == set(found) and len(set(got.values())) == len(found) and not set(got.values()) & set(found)
+    assert all(re.fullmatch(r"[1-9]\d{0,2}(\.[1-9]\d{0,2}){3}", s) for e, s in got.items() if "@" not in e)
+    with pytest.raises(RuntimeError):
+        pii.surrogates(spark.createDataFrame([(e,) for e in found], "e string"), rounds=2)
+
+
 def test_packing(docs, none, spark):
     pieces = packing.cut_pieces(docs, with_ids=True)
     from tokenizers import Tokenizer

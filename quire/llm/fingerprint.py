@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import read_table, text_or_empty
 
-PIECE = 160
+PIECE = 64
 PER_BLOCK = 8
 WIDTHS = (8, 24, 96)
 ROUNDS = 16

@@ -352,3 +352,9 @@ def test_near_copies_keep_one_of_each_class(spark):
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     want = [*rows[1:7], rows[8]]
     assert sorted((repr(r["doc_id"]), r["text"]) for r in got) == sorted((repr(i), t) for i, t, *_ in want)
+
+
+def test_fingerprint_of_a_short_text_is_like_its_edited_one(spark):
+    rows = [(i, "".join(f"{(i * 7919 + k * 104729) % 1000003:06d}" for k in range(20))) for i in range(3)]  # one line of 120 code points
+    got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] >= 1 / 3 for r in got) and all(r["near_next"] == 0 for r in got)

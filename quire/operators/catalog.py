@@ -100,16 +100,22 @@ def keep_largest(df: DataFrame, keys: list[str], size: str, tie: str) -> DataFra
 
 
 def tree_paths(nodes: DataFrame, node: str, parent: str, title: str, max_depth: int = 20) -> DataFrame:
-    """(node, depth, path) of a forest; nodes whose parent is absent are roots. A level is a join; cycles never appear."""
+    """(node, depth, path) of a forest; nodes whose parent is absent are roots. A level is a join; cycles never appear.
+
+    Raises if nodes are left below `max_depth` levels.
+    """
     ids = nodes.select(F.col(node).alias("_p")).distinct()
     rows = nodes.select(node, parent, title)
     roots = rows.join(ids, rows[parent] == ids["_p"], "left_anti")
     level = roots.select(node, F.lit(0).alias("depth"), F.col(title).alias("path"))
     out = level
-    for depth in range(1, max_depth):
+    for depth in range(1, max_depth + 1):
         above = level.select(F.col(node).alias("_n"), F.col("path").alias("_path"))
         level = rows.join(above, rows[parent] == above["_n"]).select(node, F.lit(depth).alias("depth"), F.concat("_path", F.lit("/"), title).alias("path"))
-        out = out.unionByName(level)
+        if depth < max_depth:
+            out = out.unionByName(level)
+    if not level.isEmpty():
+        raise ValueError(f"the tree has more than {max_depth} levels")
     return out
 
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
@@ -100,3 +101,11 @@ def test_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("cov").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination()
     assert {r["document"]: r["status"] for r in spark.table("cov").collect()} == {"a": "completed", "b": "rejected"}
+
+
+def test_tree_paths_loses_no_level(spark):
+    rows = [(i, i - 1 if i else None, f"t{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, parent int, title string")
+    assert {(r["id"], r["depth"], r["path"]) for r in catalog.tree_paths(df, "id", "parent", "title", 4).collect()} == {(i, i, "/".join(f"t{j}" for j in range(i + 1))) for i in range(4)}
+    with pytest.raises(ValueError):
+        catalog.tree_paths(df, "id", "parent", "title", 3)

@@ -124,3 +124,31 @@ def merge_drop_caps(blocks: DataFrame) -> DataFrame:
     before = F.lag("_pair").over(w)
     merged = rows.withColumn("text", F.when(before, F.concat(F.lag("text").over(w), "text")).otherwise(F.col("text")))
     return reindex(merged.where(~F.col("_pair")).drop("_pair"))
+
+
+def best_matches(sources: DataFrame, candidates: DataFrame, least: float = 0.05, cell: tuple[float, float] = (250.0, 50.0)) -> DataFrame:
+    """(document, page, source_block, match, iou) of every source block (document, page, block_index, bbox) whose page has candidates.
+
+    The candidate of greatest overlap (IoU, the smaller index among equals) if that is at least `least`,
+    else the one with the nearest centre, whose iou is its own. Overlaps meet in cells of a grid; only
+    blocks without a match meet all of their page.
+    """
+    page = ["document", "page"]
+    a = sources.select(*page, F.col("block_index").alias("source_block"), F.col("bbox").alias("_a"))
+    b = candidates.select(*page, F.col("block_index").alias("match"), F.col("bbox").alias("_b"))
+
+    def celled(df: DataFrame, box: str) -> DataFrame:
+        for axis, size in zip("xy", cell):
+            df = df.withColumn(f"_{axis}", F.explode(F.sequence(F.floor(F.col(f"{box}.{axis}0") / size), F.floor(F.col(f"{box}.{axis}1") / size))))
+        return df
+
+    def best(pairs: DataFrame, *order) -> DataFrame:
+        m = pairs.groupBy(*page, "source_block").agg(F.max_by(F.struct("match", "iou"), F.struct(*order, -F.col("match"))).alias("m"))
+        return m.select(*page, "source_block", "m.match", "m.iou")
+
+    iou = G.iou(F.col("_a"), F.col("_b"))
+    met = best(celled(a, "_a").join(celled(b, "_b"), [*page, "_x", "_y"]).withColumn("iou", iou).where(F.col("iou") >= least), F.round("iou", 9))
+    centre = lambda c, axis: (F.col(f"{c}.{axis}0") + F.col(f"{c}.{axis}1")) / 2
+    far = F.hypot(centre("_a", "x") - centre("_b", "x"), centre("_a", "y") - centre("_b", "y"))
+    rest = a.join(met, [*page, "source_block"], "left_anti").join(b, page).withColumn("iou", iou)
+    return met.unionByName(best(rest, -far))

@@ -190,6 +190,15 @@ def best_iou_match(spark, d):
     return best.select("document", "page", "source_block", F.col("m.block_index").alias("match"), F.round("m.iou", 6).alias("iou"))
 
 
+@query()
+def best_block_match(spark, d):
+    """Every block of every page with its best match in a shifted copy (best_iou_match, held to its SQL, has the first twelve)."""
+    b = _blocks(spark, d).select("document", "page", "block_index", "bbox")
+    x = F.col("bbox")
+    moved = b.withColumn("bbox", G.box(x["x0"] + 3.0, x["y0"] + 5.0, x["x1"] + 3.0, x["y1"] + 5.0))
+    return blocks.best_matches(moved, b).withColumn("iou", F.round("iou", 6))
+
+
 @query(f"WITH {BLOCKS} SELECT document, page, string_agg(block_index::VARCHAR, ',' ORDER BY block_index) FILTER (WHERE block_index % 2 = 0) AS a, string_agg(block_index::VARCHAR, ',' ORDER BY block_index) FILTER (WHERE block_index % 2 = 1) AS b FROM blocks GROUP BY ALL HAVING count(*) FILTER (WHERE block_index % 2 = 1) > 0")
 def lane_pivot(spark, d):
     b = _blocks(spark, d).withColumn("lane", F.when(F.col("block_index") % 2 == 0, "a").otherwise("b"))

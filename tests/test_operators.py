@@ -109,3 +109,28 @@ def test_tree_paths_loses_no_level(spark):
     assert {(r["id"], r["depth"], r["path"]) for r in catalog.tree_paths(df, "id", "parent", "title", 4).collect()} == {(i, i, "/".join(f"t{j}" for j in range(i + 1))) for i in range(4)}
     with pytest.raises(ValueError):
         catalog.tree_paths(df, "id", "parent", "title", 3)
+
+
+def test_best_matches_of_whole_pages(spark):
+    import math
+    import random
+
+    r = random.Random(5)
+
+    def boxes(n):
+        corners = [(p, i, float(r.randint(0, 900)), float(r.randint(0, 2000))) for p in range(2) for i in range(n)]
+        return [("d", p, i, x, y, x + r.randint(5, 300), y + r.randint(5, 60)) for p, i, x, y in corners]
+
+    def iou(p, q):
+        i = max(0, min(p[5], q[5]) - max(p[3], q[3])) * max(0, min(p[6], q[6]) - max(p[4], q[4]))
+        return i / (sum((z[5] - z[3]) * (z[6] - z[4]) for z in (p, q)) - i)
+
+    def match(p):
+        near = [q for q in b if q[1] == p[1]]
+        top = max(near, key=lambda q: (round(iou(p, q), 9), -q[2]))
+        return top[2] if iou(p, top) >= 0.05 else min(near, key=lambda q: (math.hypot((p[3] + p[5]) / 2 - (q[3] + q[5]) / 2, (p[4] + p[6]) / 2 - (q[4] + q[6]) / 2), q[2]))[2]
+
+    a, b = boxes(60), boxes(40)
+    df = lambda rows: spark.createDataFrame(rows, "document string, page int, block_index long, x0 double, y0 double, x1 double, y1 double").select("document", "page", "block_index", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"))
+    got = {(g["page"], g["source_block"]): g["match"] for g in blocks.best_matches(df(a), df(b)).collect()}
+    assert got == {(p[1], p[2]): match(p) for p in a} and any(iou(p, q) < 0.05 for p in a for q in b if p[1] == q[1] and q[2] == match(p))

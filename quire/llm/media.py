@@ -3,10 +3,10 @@
 Images are grey rasters (PNM or PNG bytes). On several scales corners are found (Harris response, local
 maxima above a share of the image's largest). Each corner gets an orientation (intensity centroid of its patch)
 and a binary descriptor: comparisons of smoothed grey values at pairs of places, turned by the
-orientation. Descriptors are cut into bands; two that share a band are compared by Hamming distance
-(every pair within 4 bits is found, wider ones by chance). Matches of an image pair vote
-for a scale, a rotation and a shift; a pair with enough votes for one placement is a copy, whole, cropped
-or edited.
+orientation. Descriptors are cut into bands. A single band's value can be common to very many images, so that
+a table's key is the band of a corner together with the same band of a corner next to it. Image pairs that
+share keys have all their descriptors compared by Hamming distance; the matches vote for a scale, a
+rotation and a shift, and a pair with enough votes for one placement is a copy, whole, cropped or edited.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut_lineage, read_table
+from quire.llm.words import MULTIPLIER, mix
 
 SCALES = (1.0, 0.7071, 0.5)
 CORNER_SHARE = 0.01
@@ -29,8 +30,12 @@ RADIUS = 7
 BANDS, BAND_BITS = 5, 24
 MAX_BITS = 20
 MIN_VOTES = 12
+#: The least shift bin in pixels; otherwise a sixteenth of the query's larger side.
 SHIFT_BIN = 6.0
-MAX_BROADCAST = 200_000
+NEIGHBOURS = 2
+#: Table keys that two images must share to be compared.
+MIN_HITS = 3
+MAX_BROADCAST = 1_000_000
 
 
 def read_image(raw: bytes | None) -> np.ndarray | None:
@@ -169,55 +174,103 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(corners), np.concatenate(bands)
 
 
-def descriptors(images: DataFrame, id_column: str = "id", image: str = "image") -> DataFrame:
-    """(id, x, y, scale, angle, bands) for every corner of every image; unreadable images have none."""
-    schema = "id long, x double, y double, scale double, angle double, bands array<int>"
+def table_keys(corners: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The distinct Hamming-table keys of an image: for every corner, two bands in a row and each of its `NEIGHBOURS`
+    nearest corners of the same scale, these bands' bits and the neighbour's of the first."""
+    out = [np.zeros(0, np.uint64)]
+    for s in np.unique(corners[:, 2]):
+        own = np.flatnonzero(corners[:, 2] == s)
+        near = min(NEIGHBOURS, len(own) - 1)
+        if near < 1:
+            continue
+        x = corners[own, :2]
+        apart = ((x[:, None] - x[None]) ** 2).sum(2)
+        np.fill_diagonal(apart, np.inf)
+        order = np.argsort(apart, 1, kind="stable")[:, :near]
+        mine, theirs = bands[own].astype(np.uint64)[:, None, :], bands[own[order]].astype(np.uint64)
+        key = mix((mine << np.uint64(BAND_BITS)) | np.roll(mine, 1, 2)) + np.arange(BANDS, dtype=np.uint64)
+        out.append(mix(key * MULTIPLIER + theirs).ravel())
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def pack_spots(corners: np.ndarray, bands: np.ndarray) -> bytes:
+    """Corners and descriptors of an image as bytes."""
+    return corners.astype("<f4").tobytes() + bands.astype("<i4").tobytes()
+
+
+def unpack_spots(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // (4 * (4 + BANDS))
+    return np.frombuffer(raw, "<f4", 4 * n).reshape(n, 4).astype(float), np.frombuffer(raw, "<i4", BANDS * n, 16 * n).reshape(n, BANDS)
+
+
+def count_votes(query: tuple[np.ndarray, np.ndarray], image: tuple[np.ndarray, np.ndarray], side: float) -> int:
+    """The most query corners whose matches (at most `MAX_BITS` bits apart) agree on one scale, rotation and shift."""
+    (qc, qb), (c, b) = query, image
+    if not len(qc) or not len(c):
+        return 0
+    bits = np.zeros((len(qc), len(c)), np.uint8)
+    for k in range(BANDS):
+        bits += np.bitwise_count(qb[:, None, k] ^ b[None, :, k]).astype(np.uint8)
+    i, j = np.nonzero(bits <= MAX_BITS)
+    if not len(i):
+        return 0
+    turn, size = c[j, 3] - qc[i, 3], qc[i, 2] / c[j, 2]
+    dx = c[j, 0] - size * (np.cos(turn) * qc[i, 0] - np.sin(turn) * qc[i, 1])
+    dy = c[j, 1] - size * (np.sin(turn) * qc[i, 0] + np.cos(turn) * qc[i, 1])
+    step, best = max(SHIFT_BIN, side / 16), 0
+    for g in (0.0, 0.5):  # a vote falls into cells of two grids that are half a cell apart
+        cells = np.column_stack([np.rint(np.log2(size) * 2), np.floor(turn / 0.5236 + g) % 12, np.floor(dx / step + g), np.floor(dy / step + g)]).astype(np.int64)
+        of = np.unique(cells, axis=0, return_inverse=True)[1].ravel()
+        best = max(best, int(np.bincount(np.unique(of * len(qc) + i) // len(qc)).max()))
+    return best
+
+
+def described(images: DataFrame, id_column: str = "id", image: str = "image") -> DataFrame:
+    """(id, side, keys, spots) of every readable image: its larger side, Hamming-table keys, corners with descriptors."""
+    schema = "id long, side int, keys array<long>, spots binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids, spots, bits = [], [], []
+                ids, sides, keys, spots = [], [], [], []
                 for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     x = read_image(raw)
                     if x is None or x.size == 0:
                         continue
                     c, b = describe(x)
-                    ids += [i] * len(c)
-                    spots.append(c), bits.append(b)
-                at = np.concatenate([np.zeros((0, 4)), *spots])
-                flat = np.concatenate([np.zeros((0, BANDS), np.int64), *bits]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * BANDS, pa.int32()), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(at[:, k]) for k in range(4)), lists], names=[x.split()[0] for x in schema.split(", ")])
+                    ids.append(i), sides.append(max(x.shape)), keys.append(table_keys(c, b)), spots.append(pack_spots(c, b))
+                ends = np.cumsum([0] + [len(k) for k in keys])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sides, pa.int32()), lists, pa.array(spots, pa.binary())], names=["id", "side", "keys", "spots"])
 
     return images.select(F.col(id_column).cast("long").alias("id"), F.col(image).alias("image")).where("id IS NOT NULL").mapInArrow(run, schema)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-
-
 def find_copies(queries: DataFrame, images: DataFrame, min_votes: int = MIN_VOTES) -> DataFrame:
     """(query_id, id, votes): the images that hold a query image, or that it holds, by geometric consensus.
 
-    Images with equal bytes are compared once: pairs are of the smallest ids of equal images. Null ids are left out.
+    The Hamming tables of both sides are joined by key; an image pair with `MIN_HITS` keys in common has all its
+    descriptors compared and its votes counted. Query keys are broadcast only up to `MAX_BROADCAST` rows, beyond
+    that both sides are dealt by key. Null ids, null and unreadable images have no row; an id that occurs several
+    times has the votes of its best image; other columns are not read; an empty side gives an empty result.
     """
-    q = descriptors(queries).select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("scale").alias("qs"), F.col("angle").alias("qa"), F.col("bands").alias("qb"))
-    q = cut_lineage(q)
-    mine = q.select("*", F.posexplode("qb").alias("band", "value"))
-    theirs = descriptors(images).select("*", F.posexplode("bands").alias("band", "value"))
-    small = q.limit(MAX_BROADCAST // BANDS + 1).count() <= MAX_BROADCAST // BANDS
-    met = theirs.join(F.broadcast(mine) if small else mine, ["band", "value"])
-    # a pair of corners that shares several bands is met once: in the first of them
-    first = F.array_position(F.zip_with("bands", "qb", lambda a, b: a == b), True) - 1
-    met = met.where((F.col("band") == first) & (_distance(F.col("bands"), F.col("qb")) <= MAX_BITS))
-    turn = F.col("angle") - F.col("qa")
-    size = F.col("qs") / F.col("scale")
-    met = met.withColumns({"_t": turn, "_z": size, "_dx": F.col("x") - size * (F.cos(turn) * F.col("qx") - F.sin(turn) * F.col("qy")), "_dy": F.col("y") - size * (F.sin(turn) * F.col("qx") + F.cos(turn) * F.col("qy"))})
-    # a vote falls into cells of two grids that are half a cell apart
-    cells = [F.struct(F.lit(g).alias("g"), F.round(F.log2("_z") * 2).cast("int").alias("z"), F.pmod(F.floor(F.col("_t") / 0.5236 + g / 2), F.lit(12)).alias("t"), F.floor(F.col("_dx") / SHIFT_BIN + g / 2).alias("dx"), F.floor(F.col("_dy") / SHIFT_BIN + g / 2).alias("dy")) for g in (0, 1)]
-    votes = met.select("qid", "id", F.struct("qx", "qy").alias("spot"), F.explode(F.array(*cells)).alias("cell")).groupBy("qid", "id", "cell").agg(F.count_distinct("spot").alias("n"))
-    return votes.groupBy(F.col("qid").alias("query_id"), "id").agg(F.max("n").alias("votes")).where(F.col("votes") >= min_votes)
+    q = cut_lineage(described(queries))
+    asked = q.select(F.col("id").alias("qid"), F.explode("keys").alias("key")).distinct()
+    few = (q.agg(F.sum(F.size("keys"))).first()[0] or 0) <= MAX_BROADCAST
+    met = described(images).select("id", F.explode("keys").alias("key")).join(F.broadcast(asked) if few else asked, "key")
+    pairs = cut_lineage(met.groupBy("qid", "id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HITS).select("qid", "id"))
+    wanted = images.join(pairs.select("id").distinct(), "id", "left_semi")
+    sides = q.select(F.col("id").alias("qid"), F.col("spots").alias("qspots"), "side")
+    rows = pairs.join(described(wanted).select("id", "spots"), "id").join(sides, "qid").select("qid", "id", "qspots", "spots", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [count_votes(unpack_spots(a), unpack_spots(b), n) for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64())], names=["query_id", "id", "votes"])
+
+    found = rows.mapInArrow(run, "query_id long, id long, votes long").where(F.col("votes") >= min_votes)
+    return found.groupBy("query_id", "id").agg(F.max("votes").alias("votes"))
 
 
 def first_of_equal(images: DataFrame) -> DataFrame:
@@ -230,8 +283,18 @@ def first_of_equal(images: DataFrame) -> DataFrame:
 SIDE, CROP = 96, 76
 
 
+@cache
+def _textures(n: int) -> np.ndarray:
+    """`n` fixed rasters of band-limited noise with unit spread."""
+    rng = np.random.default_rng(31)
+    f = np.fft.fftfreq(SIDE) * SIDE
+    r = np.hypot(f[:, None], f[None])
+    x = np.fft.ifft2(np.fft.fft2(rng.normal(size=(n, SIDE, SIDE))) * ((r >= 3) & (r <= 14))).real
+    return (x / x.std((1, 2), keepdims=True)).reshape(n, -1)
+
+
 def _rendered(rows: DataFrame, edited: bool) -> DataFrame:
-    """Vectors as 8 x 8 rasters drawn at `SIDE`; edited: cropped, brighter, less contrast, with noise."""
+    """Vectors as mixtures of fixed textures, a number for each; edited: cropped, brighter, less contrast, with noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,10 +304,7 @@ def _rendered(rows: DataFrame, edited: bool) -> DataFrame:
                     out.append(None)
                     continue
                 a = np.array(v, float)
-                side = int(np.ceil(np.sqrt(len(a))))
-                a = np.pad(a, (0, side * side - len(a))).reshape(side, side)
-                a = 40 + 175 * (a - a.min()) / (np.ptp(a) + 1e-12)
-                x = resize(np.kron(a, np.ones((4, 4))), SIDE, SIDE)
+                x = 128 + 40 * (a / (np.linalg.norm(a) + 1e-12) @ _textures(len(a))).reshape(SIDE, SIDE)
                 if edited:
                     noise = np.random.default_rng(zlib.crc32(a.tobytes())).normal(0, 2, (SIDE, SIDE))
                     x = (x * 0.85 + 25 + noise)[7 : 7 + CROP, 11 : 11 + CROP]
@@ -257,15 +317,15 @@ def _rendered(rows: DataFrame, edited: bool) -> DataFrame:
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors drawn as images; cropped and edited copies of those whose id is divisible by 100 are looked for in all.
 
-    A row for each image: its first equal image, and the queries (first equal ones) that this one answers.
+    A row for each image: its first equal image, and the queries (first equal ones) that this one answers. A null or
+    incomplete vector has no image and answers nothing; of repeated ids one row is drawn.
     """
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    images = _rendered(rows, edited=False)
-    members = cut_lineage(first_of_equal(images))
-    firsts = members.where("id = first").select("id")
-    asked = members.where("id % 100 = 0").select(F.col("first").alias("id")).distinct()
-    distinct = rows.join(firsts.withColumnRenamed("id", "vec_id"), "vec_id").dropDuplicates(["vec_id"])
-    queries = rows.join(asked.withColumnRenamed("id", "vec_id"), "vec_id").dropDuplicates(["vec_id"])
+    members = cut_lineage(first_of_equal(_rendered(rows, edited=False)))
+    firsts = members.where("id = first").select(F.col("id").alias("vec_id"))
+    asked = members.where("id % 100 = 0").select(F.col("first").alias("vec_id"))
+    distinct = rows.join(firsts, "vec_id", "left_semi").dropDuplicates(["vec_id"])
+    queries = rows.join(asked, "vec_id", "left_semi").dropDuplicates(["vec_id"])
     pairs = find_copies(_rendered(queries, edited=True), _rendered(distinct, edited=False))
-    answers = pairs.groupBy(F.col("id").alias("first")).agg(F.array_sort(F.collect_list("query_id")).alias("queries"), F.max("votes").cast("long").alias("votes"))
+    answers = pairs.groupBy(F.col("id").alias("first")).agg(F.array_sort(F.collect_list("query_id")).alias("queries"), F.max("votes").alias("votes"))
     return members.join(answers, "first", "left").select(F.col("id").alias("vec_id"), "first", F.coalesce("queries", F.array().cast("array<bigint>")).alias("queries"), F.coalesce("votes", F.lit(0).cast("long")).alias("votes"))

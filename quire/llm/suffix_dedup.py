@@ -35,7 +35,8 @@ from quire.llm.words import MULTIPLIER, mix, ragged
 WINDOW = 50
 ANCHOR = 20
 BATCH_BYTES = 8 << 20
-ANCHOR_BITS, CONTEXT_BITS, PLACE_BITS = 40, 40, 24
+PIECE_BYTES = 1 << 20
+PLACE_BITS = 24
 REMOVE, OPEN, PROVIDER = 1, 2, 4
 
 
@@ -126,24 +127,25 @@ def read_batch(ids: np.ndarray, texts: pa.Array, window: int, anchor: int) -> Ba
     body = np.frombuffer(raw, np.uint8)[begin[0] : begin[-1]] if raw is not None and len(texts) else np.zeros(0, np.uint8)
     begin = begin - begin[0] if len(texts) else np.zeros(1, np.int64)
     data = np.concatenate([body, np.zeros(window + 8, np.uint8)])
-    if len(body) >= 1 << PLACE_BITS:  # a batch with a very long text: its runs are found piece by piece
-        parts = []
-        step = (1 << PLACE_BITS) - window - 8
-        for lo in range(0, len(body) - window + 1, step):
-            hi = min(len(body), lo + step + window - 1)
-            own = np.clip(begin, lo, hi) - lo
-            d, *rest = _runs(np.concatenate([body[lo:hi], np.zeros(window + 8, np.uint8)]), own, window, anchor)
-            parts.append((d, rest[0] + lo, rest[1] + lo, rest[2] + lo, rest[3]))
-        doc, first, last, place, h = (np.concatenate(x) for x in zip(*parts))
-    else:
-        doc, first, last, place, h = _runs(data, begin, window, anchor)
+    parts = []
+    for lo in range(0, max(1, len(body) - window + 1), PIECE_BYTES):  # runs are found piece by piece
+        hi = min(len(body), lo + PIECE_BYTES + window - 1)
+        d, *rest = _runs(np.concatenate([body[lo:hi], np.zeros(window + 8, np.uint8)]), np.clip(begin, lo, hi) - lo, window, anchor)
+        parts.append((d, rest[0] + lo, rest[1] + lo, rest[2] + lo, rest[3]))
+    doc, first, last, place, h = (np.concatenate(x) for x in zip(*parts))
+    # a run that a piece's end has cut is one run
+    on = np.flatnonzero((place[1:] == place[:-1]) & (doc[1:] == doc[:-1]) & (first[1:] == last[:-1] + 1))
+    if len(on):
+        for i in on[::-1].tolist():
+            last[i] = last[i + 1]
+        doc, first, last, place, h = (np.delete(x, on + 1) for x in (doc, first, last, place, h))
     words = _loads(data)
     c = ((last - first) << 8 | (place - first)).astype(np.uint64)
     for start in (first, last):
         for at in (*range(0, window - 7, 8), window - 8):
             c = (c ^ words[start + at]) * np.uint64(0xD6E8FEB86659FD93)
             c ^= c >> np.uint64(29)
-    c = (mix(c) >> np.uint64(64 - CONTEXT_BITS)).astype(np.uint64)
+    c = mix(c)
     h = h.astype(np.uint64)
     order = np.lexsort((ids[doc], c, h))
     new = np.ones(len(order), bool)
@@ -318,15 +320,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             hit = some[(masks[e[some]] >> dist & 1) > 0]
             np.add.at(cover, b.run_place[hit] - dist, 1)
             np.add.at(cover, b.run_place[hit] - dist + window, -1)
-        gone = np.cumsum(cover)[: b.begin[-1]] > 0
+        np.cumsum(cover, out=cover)
+        gone = cover[: b.begin[-1]] > 0
+        del cover
         kept = ~gone
-        total = np.concatenate([[0], np.cumsum(gone)])
-        n_removed = total[b.begin[1:]] - total[b.begin[:-1]]
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         inner = b.begin[:-1][b.begin[:-1] < len(gone)]
         head[inner] = gone[inner]
-        heads = np.concatenate([[0], np.cumsum(head)])
+        n_removed, heads = (np.array([np.count_nonzero(x[lo:hi]) for lo, hi in zip(b.begin[:-1].tolist(), b.begin[1:].tolist())], np.int64) for x in (gone, head))
         digests, texts, marks = [], [], []
         for lo, hi, n in zip(b.begin[:-1].tolist(), b.begin[1:].tolist(), n_removed.tolist()):
             own = b.data[lo:hi] if not n else b.data[lo:hi][kept[lo:hi]]
@@ -335,7 +337,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             if with_text:
                 texts.append(raw.decode("utf-8", "ignore"))
                 marks.append(hashlib.md5(b.data[lo:hi].tobytes()).hexdigest())
-        cols = [pa.array(b.ids), pa.array(np.diff(b.begin)), pa.array(n_removed), pa.array(heads[b.begin[1:]] - heads[b.begin[:-1]]), pa.array(digests, pa.string())]
+        cols = [pa.array(b.ids), pa.array(np.diff(b.begin)), pa.array(n_removed), pa.array(heads), pa.array(digests, pa.string())]
         return pa.table(dict(zip(names, cols + ([pa.array(texts, pa.string()), pa.array(marks, pa.string())] if with_text else []))))
 
     out = batches.cogroup(judged.unionByName(settled).groupBy("m")).applyInArrow(finish, schema)

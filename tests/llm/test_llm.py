@@ -232,6 +232,27 @@ def test_pii(spark, docs, none):
     assert pii.replace_entities(docs).count() == len(corpus()) and pii.replace_entities(none).count() == 0
 
 
+def test_pii_of_odd_and_long_texts(spark):
+    long = "mail a@" + "b." * 5000
+    rows = [(1, long), (2, "x" * 500_000 + " ann@site.example.com " + "y " * 300_000), (3, "A1 " * 200_000), (4, "password=" + "k" * 200_000), (5, "a@b.co, c@d.co-"), (6, "1." * 300_000), (7, "Mr " * 300_000)]
+    got = {r["doc_id"]: r for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == long and got[2]["n_entities"] == 1 and "ann@site" not in got[2]["text"] and got[4]["n_entities"] == 1 and got[5]["n_entities"] == 1
+
+
+def test_surrogates_keep_what_entities_share(spark):
+    found = [f"u{i}@{h}.example" for i in range(3) for h in "abcdefgh"] + ["U1@A.example", "Mrs. Jane Roe", "Mrs. Roe", "Ms Ann Roe", "Mr John Poe", "Mr Poe", "г-жа Анна Котова"]
+    got = {r["e"]: r["s"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in found], "e string")).collect()}
+    assert len(set(got.values())) == len(found)
+    domain = {h: {got[f"u{i}@{h}.example"].split("@")[1] for i in range(3)} for h in "abcdefgh"}
+    assert all(len(d) == 1 for d in domain.values()) and len(set.union(*domain.values())) == 8 and not set.union(*domain.values()) & {f"{h}.example" for h in "abcdefgh"}
+    assert got["U1@A.example"].lower() == got["u1@a.example"]
+    family = lambda e: got[e].split()[-1]
+    assert family("Mrs. Jane Roe") == family("Mrs. Roe") == family("Ms Ann Roe") != family("Mr Poe") == family("Mr John Poe")
+    assert re.fullmatch("г-жа [А-Я][а-я]+ [А-Я][а-я]+", got["г-жа Анна Котова"]) and re.fullmatch("Mrs. [A-Z][a-z]+ [A-Z][a-z]+", got["Mrs. Jane Roe"])
+    again = {r["e"]: r["s"] for r in pii.surrogates(spark.createDataFrame([(e,) for e in found], "e string"), "another key").collect()}
+    assert sum(again[e] == got[e] for e in found) <= 1
+
+
 def test_surrogates_stay_distinct(spark):
     octets = [f"1.1.{i}.{j}" for i in range(1, 10) for j in range(1, 10)]  # 81 of the 6561 addresses of this form
     found = spark.createDataFrame([(e,) for e in octets], "e string")

@@ -179,8 +179,7 @@ class Engine:
         return self._with(**{t: self[t].where(F.col("document_id") != document) for t in ("chunks", "sections", "page_blocks", "pages")})
 
     def delete_lanes(self, document: str) -> Engine:
-        mark = F.col("id")
-        return self._with(page_blocks=self["page_blocks"].where(~(mark.like(f"pymupdf_{document}_%") | mark.like(f"pdfbox_{document}_%"))))
+        return self._with(page_blocks=catalog.without_prefix(self["page_blocks"], "id", [f"pymupdf_{document}_", f"pdfbox_{document}_"]))
 
 
 def check_upload(rows: DataFrame, longest: int = 50 << 20) -> DataFrame:

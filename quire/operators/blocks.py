@@ -11,6 +11,9 @@ from quire.functions import text as T
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 DRM = rf"(?:{EMAIL}.*[0-9]{{6}}/[0-9]+/[0-9]+)|(?:[0-9]{{6}}/[0-9]+/[0-9]+.*{EMAIL})|^[^@\n]{{1,80}} - {EMAIL}"
+#: What a line of stats has, and what is left of a diagram; fixed values.
+STATS_HINT = r"(?i)\b(AGI|FOR|CON|INT|PER|CHA|VOL)\s*[+-]|\|\s*NC\s*\d"
+DIAGRAM = r"[\x0C\x0F\x9A]|Princesse d."
 PAGE_KEY = ("document", "page")
 
 
@@ -32,17 +35,17 @@ def matches_drm(c: Column, extra: tuple[str, ...] = ()) -> Column:
 
 
 def garbled(c: Column) -> Column:
-    """Which of the two rules drops a text: short with few letters, or long with a small share of letters."""
-    cleaned = T.strip(F.regexp_replace(c, r"[\p{Cc}\p{Co}]", ""))
+    """Which rule drops a text: a diagram's marks, no text, short with few letters, or long with a small share of letters. Lines of stats stay."""
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x{E000}-\x{F8FF}]|[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""), r"\s+", " "))
     letters = F.length(F.regexp_replace(cleaned, r"\P{L}", ""))
     n = F.length(cleaned)
-    return F.when(n == 0, "empty").when((n < 12) & (letters < 4), "short").when((n >= 12) & (letters < n * 0.35), "sparse")
+    return F.when(c.rlike(STATS_HINT), None).when(c.rlike(DIAGRAM), "diagram").when(n == 0, "empty").when((n < 12) & (letters < 4), "short").when((n >= 12) & (letters < n * 0.35), "sparse")
 
 
-def noise(b: str = "bbox", c: str = "text") -> Column:
+def noise(b: str = "bbox", c: str = "text", edge: float = 0.85) -> Column:
     """Page labels and vertical running headers."""
     words = F.size(F.filter(F.split(F.col(c), r"\s+"), lambda w: w != ""))
-    vertical = (F.col(f"{b}.x1") - F.col(f"{b}.x0") <= 20) & (F.col(f"{b}.x0") >= PAGE_WIDTH * 0.85) & (F.length(c) <= 80) & (words <= 12)
+    vertical = (F.col(f"{b}.x1") - F.col(f"{b}.x0") <= 20) & (F.col(f"{b}.x0") >= PAGE_WIDTH * edge) & (F.length(c) <= 80) & (words <= 12)
     return F.col(c).rlike(r"^PAGE\s+\d+$") | vertical
 
 
@@ -101,20 +104,6 @@ def spatial_rank(blocks: DataFrame, column_major: bool = False) -> DataFrame:
     return blocks.withColumn("rank", F.row_number().over(Window.partitionBy(*PAGE_KEY).orderBy(*keys, "block_index")) - 1)
 
 
-def merge_pieces(pieces: DataFrame, order: str = "ord", text: str = "text", keys: tuple[str, ...] = PAGE_KEY) -> DataFrame:
-    """Greedy merge of a page's fragments: a fragment that begins in lower case joins what is before it, after a
-    hyphen without a space, unless that ends a sentence. State is a fold over the page's ordered fragments."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & x.rlike(r"^\p{Ll}") & ~F.coalesce(last, F.lit("")).rlike(r"[.!?:;…]\s*$")
-        glued = F.when(last.rlike(f"[{T.HYPHENS}]$"), F.concat(F.regexp_replace(last, f"[{T.HYPHENS}]$", ""), x)).otherwise(F.concat(last, F.lit(" "), x))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(glued))).otherwise(F.concat(acc, F.array(x)))
-
-    listed = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_p"))
-    folded = F.aggregate(F.transform("_p", lambda s: s[text]), F.array().cast("array<string>"), step)
-    return listed.select(*keys, F.posexplode(folded).alias("block_index", "text"))
-
-
 def merge_drop_caps(blocks: DataFrame) -> DataFrame:
     """A single capital joins the block after it that begins in lower case."""
     w = Window.partitionBy(*PAGE_KEY).orderBy("block_index")
@@ -151,4 +140,4 @@ def best_matches(sources: DataFrame, candidates: DataFrame, least: float = 0.05,
     centre = lambda c, axis: (F.col(f"{c}.{axis}0") + F.col(f"{c}.{axis}1")) / 2
     far = F.hypot(centre("_a", "x") - centre("_b", "x"), centre("_a", "y") - centre("_b", "y"))
     rest = a.join(met, [*page, "source_block"], "left_anti").join(b, page).withColumn("iou", iou)
-    return met.unionByName(best(rest, -far))
+    return met.unionByName(best(rest, -F.round(far, 6)))

@@ -59,3 +59,28 @@ def keep_one_stat_chunk(chunks: DataFrame) -> DataFrame:
     w = Window.partitionBy("document", "stat_id").orderBy(size.desc(), "chunk")
     ranked = chunks.withColumn("_r", F.when(F.col("stat_id").isNull(), 1).otherwise(F.row_number().over(w)))
     return ranked.where("_r = 1").drop("_r")
+
+
+def split_at_substantive_gaps(items: DataFrame, pages: DataFrame, keys: list[str], page: str, decorative: str) -> DataFrame:
+    """`items` (keys, page) with `part`, which grows where pages are left out of which one has text (absent pages do not count).
+
+    A page with text is numbered among those of its key, so that no range join is needed: something lies between two
+    pages if the number of text pages before the second, less those up to the first, is not 0.
+    """
+    w = Window.partitionBy(*keys).orderBy(page)
+    text = pages.where(~F.col(decorative)).select(*keys, page, F.lit(1).alias("_t")).distinct()
+    both = items.select(*keys, page, F.lit(1).alias("_i")).distinct().join(text, [*keys, page], "full")
+    counted = both.withColumn("_upto", F.count("_t").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    mine = counted.where("_i IS NOT NULL").withColumn("_below", F.col("_upto") - F.coalesce("_t", F.lit(0)))
+    cut = F.coalesce(F.col("_below") > F.lag("_upto").over(w), F.lit(False)).cast("int")
+    mine = mine.withColumn("_cut", cut)
+    return mine.select(*keys, page, F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("part"))
+
+
+def split_at_headings_between(items: DataFrame, headings: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`items` with `part`, which grows where a heading of the item's column lies between the item before and it, by y0."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = items.withColumn("_before", F.lag("bbox.y0").over(w))
+    h = headings.select(*keys, F.col("bbox").alias("_h"))
+    hit = rows.join(h, keys).where((F.col("_h.y0") > F.col("_before")) & (F.col("_h.y0") < F.col("bbox.y0")) & G.in_column(F.col("bbox"), F.col("_h"))).select(*keys, order, F.lit(1).alias("_cut")).distinct()
+    return rows.join(hit, [*keys, order], "left").withColumn("part", F.sum(F.coalesce("_cut", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_cut")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 #: Labels of chunks, entities and relations; fixed values.
-CHUNK_TYPES = ("lore", "scene", "encounter", "stat_block", "location", "npc", "clue", "secret", "handout", "map", "table", "rule", "item", "introduction", "other")
+CHUNK_TYPES = ("location", "npc", "faction", "scene", "encounter", "clue", "secret", "item", "handout", "map", "stat_block", "lore", "rule", "table", "other")
+ENTITY_TYPES = ("location", "npc", "faction", "scene", "encounter", "secret", "clue", "item", "monster", "organization", "timeline_event", "handout", "rule_reference")
+RELATION_TYPES = ("located_in", "contains", "knows_secret", "reveals", "points_to", "requires", "unlocks", "opposes", "serves", "member_of", "appears_in", "connected_to", "caused_by", "threatens")
 LOW_CONFIDENCE = 0.5
 
 
@@ -38,13 +40,35 @@ def bad_confidence(df: DataFrame, id_column: str, value: str, target_type: str)
     return finding(df.where(~F.col(value).between(0, 1)), "invalid_confidence", target_type, id_column, F.lit("outside 0 to 1"))
 
 
+def unknown_blocks(refs: DataFrame, owner: str, document: str, members: str, blocks: DataFrame, block_document: str, block: str) -> DataFrame:
+    """Owners whose references name blocks that their document does not have, with these blocks in order."""
+    rows = refs.select(F.col(owner), F.col(document), F.posexplode(members).alias("_at", "_m"))
+    known = blocks.select(F.col(block_document).alias(document), F.col(block).alias("_m")).distinct()
+    left = rows.join(known, [document, "_m"], "left_anti").groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda x: x["_m"].cast("string")).alias("_missing"))
+    return finding(left, "unknown_page_block_id", "entity", owner, F.array_join("_missing", ","))
+
+
+def spoiler_hit(text: Column, words: tuple[str, ...] = T.GM_ONLY_KEYWORDS) -> Column:
+    """What gives a text away: the first of the words it holds, else the phrase `the truth is`; null for nothing."""
+    return F.coalesce(T.first_keyword(text, words), F.when(F.lower(text).rlike(r"\bthe truth is\b"), "the truth is"))
+
+
+def review_queue(chunks: DataFrame, label: str, confidence: str, least: float = LOW_CONFIDENCE) -> DataFrame:
+    """Classified chunks below the confidence, and those without any."""
+    return chunks.where(F.col(label).isNull() | (F.col(confidence) < least))
+
+
+def player_safe(entities: DataFrame, flag: str, hidden: tuple[str, ...]) -> DataFrame:
+    """Entities that players may see, without the columns that are not for them."""
+    return entities.where(F.coalesce(F.col(flag), F.lit(False))).drop(*hidden)
+
+
 def unknown_entities(edges: DataFrame, id_column: str) -> DataFrame:
     return finding(edges, "unknown_entity_in_relation", "relation", id_column, F.lit("unknown end"))
 
 
 def spoilers(df: DataFrame, id_column: str, text: Column, words: tuple[str, ...] = T.GM_ONLY_KEYWORDS) -> DataFrame:
-    hit = F.coalesce(T.first_keyword(text, words), F.when(F.lower(text).rlike(r"\bthe truth is\b"), "the truth is"))
-    return finding(df.withColumn("_hit", hit).where("_hit IS NOT NULL"), "player_safe_spoiler", "entity", id_column, F.col("_hit"))
+    return finding(df.withColumn("_hit", spoiler_hit(text, words)).where("_hit IS NOT NULL"), "player_safe_spoiler", "entity", id_column, F.col("_hit"))
 
 
 def relations_without_refs(df: DataFrame, id_column: str, refs: str) -> DataFrame:

@@ -2,33 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADER = r"(\p{Lu}[\p{Lu} '’-]+?)(?:, ([^|]+?))? \| NC (\d+(?:/\d+)?)"
-STATS = r"\b(AGI|CON|FOR|PER|CHA|INT|VOL|DEX|SAG)\s*([+-])\s*(\d+)"
-ATTACK = r"([\p{L}][\p{L} '’-]*?) \+(\d+)(?: · DM)? (\d+d\d+(?:[+-]\d+)?)"
-ABILITY = r"(?s)^([\p{Lu}][\p{L} '’-]{2,60})(?: \(([A-Z]+)\))?\s*:\s*(.+)$"
+from quire.functions import text as T
+
+#: The letters of titles, attributes, patterns of stat blocks; fixed values.
+CAPITALS = "A-ZÀÂÄÉÈÊËÏÎÔÙÛÜŸÇ"
+ATTRIBUTES = ("AGI", "FOR", "CON", "INT", "PER", "CHA", "VOL")
+HEADER = r"(?im)^(.+?)\s*\|\s*NC\s*(\d+(?:/\d+)?)\s*$"
+STATS = rf"(?i)\b({'|'.join(ATTRIBUTES)})\s*([+-])\s*(\d+)"
+STATS_START = rf"(?i)^({'|'.join(ATTRIBUTES)})\s*[+-]?\s*\d"
+CHALLENGE = r"(?i)(?:\|\s*)?NC\s*(\d+(?:/\d+)?)"
+ATTACK = r"(?i)([A-Za-zÀ-ÿ][A-Za-zÀ-ÿ\s\-']+?)\s*\+(\d+)\s*(?:[·\s]|·\s*DM\s*)*(\d+d\d+(?:[+-]\d+)?)"
+ABILITY = rf"^([{CAPITALS}][{CAPITALS}0-9\s\-'\u2019]+?)\s*(?:\([A-Z]\))?\s*:\s*(.*)$"
+INLINE_ABILITY = rf"(?<![A-Za-zÀ-ÿ])(?<![DdLl]['\u2019])([{CAPITALS}][{CAPITALS}0-9\s\-'\u2019]+?)\s*(?:\([A-Z]\))?\s*:\s*"
+NO_ABILITY = r"(?i)\b(AGI|FOR|CON|INT|PER|CHA)\s*[+-]|\b(DEF|PV|NC|TAILLE|CRÉATURE|HUMAINE|HUMAIN)\b"
+ATTACK_LINE = r"(?i)^(Morsure|Griffes|.+ \+\d+|.+ · DM)"
+ABILITY_HINT = r"(?i)\b(DM\b|round de combat|premier round|surprise|d20|Lorsque la créature réussit)"
+BODY = r"(?i)\b(DEF|PV|Init|PM)\b|Voie de|Voir le profil|Utilisez le profil"
+CAPITAL_NAME = rf"^[{CAPITALS}][{CAPITALS}0-9\s\-,'\.]{{1,58}}$"
+TYPE_LABELS = ("HUMAINE", "HUMAIN", "MORT-VIVANT", "MORT-VIVANTS", "MORT VIVANT", "ANIMAUX", "ANIMAL", "CONSTRUCT", "ESPRIT")
+PROFILES = (r"(?i)Voir le profil de (.+?) \((?:Livre de règles, )?COF\)", r"(?i)Utilisez le profil du?\s+(.+?)\s+que vous trouverez dans le livre de règles de COF")
+#: What an ability's body says, and the ability's title; fixed values.
+BODY_HINTS = (
+    (r"(?i)Au premier round de combat", "EMBUSCADE"),
+    (r"(?i)premier round de combat", "EMBUSCADE"),
+    (r"(?i)cible doit faire un test de PER difficulté 19", "EMBUSCADE"),
+    (r"(?i)Lorsque la créature réussit une attaque", "DÉVORER"),
+    (r"(?i)un résultat de 15-20 au d20", "DÉVORER"),
+    (r"(?is)Créatures souterraines.+dé malus", "SENSIBLE À LA LUMIÈRE"),
+    (r"(?is)lumière du soleil.*dé malus", "SENSIBLE À LA LUMIÈRE"),
+    (r"(?is)15-20 sur le d20", "COUP CRITIQUE"),
+)
 
 
 def header(t: Column) -> Column:
-    """name, subtitle, nc_raw, nc of a header line; null fields where it is none."""
-    part = lambda i: F.nullif(F.regexp_extract(t, HEADER, i), F.lit(""))
-    return F.struct(part(1).alias("name"), part(2).alias("subtitle"), part(3).alias("nc_raw"), F.when(part(3).rlike(r"^\d+$"), part(3).try_cast("int")).alias("nc"))
+    """name, subtitle (after the name's first comma), nc_raw, nc of the first header line, whatever its case; null fields where there is none."""
+    part = lambda i: F.nullif(F.trim(F.regexp_extract(t, HEADER, i)), F.lit(""))
+    name, raw = part(1), part(2)
+    piece = lambda p: F.nullif(F.trim(F.regexp_extract(name, p, 1)), F.lit(""))
+    return F.struct(piece("^([^,]*)").alias("name"), piece("^[^,]*,(.*)$").alias("subtitle"), raw.alias("nc_raw"), T.nc_value(raw)["number"].alias("nc"))
 
 
 def attributes(t: Column) -> Column:
     """Signed attributes; the last mention of each wins."""
     names, signs, values = (F.regexp_extract_all(t, F.lit(STATS), F.lit(i)) for i in (1, 2, 3))
     pairs = F.arrays_zip(names.alias("k"), signs.alias("s"), values.alias("v"))
-    entries = F.transform(pairs, lambda p: F.struct(p["k"].alias("key"), (F.when(p["s"] == "-", -1).otherwise(1) * p["v"].cast("int")).alias("value")))
+    entries = F.transform(pairs, lambda p: F.struct(F.upper(p["k"]).alias("key"), (F.when(p["s"] == "-", -1).otherwise(1) * p["v"].cast("int")).alias("value")))
     last = F.aggregate(entries, F.array().cast("array<struct<key:string,value:int>>"), lambda a, e: F.concat(F.filter(a, lambda x: x["key"] != e["key"]), F.array(e)))
     return F.map_from_entries(last)
 
 
 def combat(t: Column) -> Column:
     one = lambda p: F.regexp_extract(t, p, 1).try_cast("int")
-    return F.struct(one(r"\bDEF\s*(\d+)").alias("defense"), one(r"\bPV\s*(\d+)").alias("vigor"), one(r"\bInit\.?\s*(\d+)").alias("initiative"), one(r"\bPM\s*(\d+)").alias("mana"))
+    return F.struct(
+        one(r"(?i)(?:\(S\)\s*)?(?:Défense|DEF)\s*(\d+)").alias("defense"), one(r"(?i)(?:\(V\)\s*)?(?:Points de vigueur|PV)\s*(\d+)").alias("vigor"),
+        one(r"(?i)(?:\(I\)\s*)?(?:Initiative|Init\.?)\s*(\d+)").alias("initiative"), one(r"(?i)(?:\(M\)\s*)?PM\s*(\d+)").alias("mana"),
+    )
 
 
 def attacks(t: Column) -> Column:
@@ -37,13 +68,62 @@ def attacks(t: Column) -> Column:
 
 
 def ability(t: Column) -> Column:
-    part = lambda i: F.nullif(F.regexp_extract(t, ABILITY, i), F.lit(""))
-    return F.when(t.rlike(ABILITY), F.struct(part(1).alias("title"), part(2).alias("mark"), F.trim(part(3)).alias("text")))
+    """(title, text) of an ability's block: a title in capitals before a colon on its first line; null for none."""
+    lines = F.filter(F.transform(F.split(T.strip_layout_glyphs(t), "\n"), T.strip), lambda x: x != "")
+    first = F.get(lines, F.lit(0))
+    title = T.fold_apostrophes(F.regexp_extract(first, ABILITY, 1))
+    body = F.filter(F.concat(F.array(F.trim(F.regexp_extract(first, ABILITY, 2))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), lambda x: x != "")
+    return F.when(first.rlike(ABILITY) & (title != "") & ~title.rlike(NO_ABILITY), F.struct(title.alias("title"), F.array_join(body, "\n").alias("text")))
+
+
+def inline_abilities(t: Column) -> Column:
+    """(title, text) of all abilities within a text, in order; after `(I) Init.` where that occurs."""
+    whole = T.strip_layout_glyphs(t)
+    body = F.when(whole.rlike(r"\(I\)\s*Init\."), F.regexp_replace(whole, r"(?s)^.*?\(I\)\s*Init\.", "")).otherwise(whole)
+    titles = F.regexp_extract_all(body, F.lit(INLINE_ABILITY), F.lit(1))
+    texts = F.split(body, INLINE_ABILITY)
+    found = F.transform(F.arrays_zip(titles.alias("t"), F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))).alias("b")), lambda x: F.struct(T.fold_apostrophes(x["t"]).alias("title"), T.strip(x["b"]).alias("text")))
+    return F.filter(found, lambda x: (x["title"] != "") & ~x["title"].rlike(NO_ABILITY))
+
+
+def hinted_abilities(t: Column) -> Column:
+    """Titles that a text's wording gives away, each once: of its attack line, then of what its body says."""
+    text = T.strip_layout_glyphs(t)
+    first = F.trim(F.get(F.split(text, "\n"), F.lit(0)))
+    attack = F.when(first.rlike(ATTACK_LINE), F.trim(F.get(F.split(first, "·"), F.lit(0))))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(attack, *(F.when(text.rlike(p), title) for p, title in BODY_HINTS)))))
+
+
+def valid_abilities(titles: Column, attack_names: Column) -> Column:
+    """Titles of abilities that are none of an attack, a stat or too short, each once, in order."""
+    ok = lambda x: (F.length(F.trim(x)) > 2) & (F.trim(x) != "PJ") & ~F.trim(x).rlike(NO_ABILITY) & ~F.array_contains(attack_names, x) & ~x.rlike(ATTACK)
+    return F.array_distinct(F.filter(titles, ok))
 
 
 def rulebook_reference(t: Column) -> Column:
-    flat = F.regexp_replace(t, r"\s+", " ")
-    return F.coalesce(F.nullif(F.regexp_extract(flat, r"(?i)utilisez le profil (?:de |du |d')([^.(]+)", 1), F.lit("")), F.nullif(F.regexp_extract(flat, r"(?i)voir (?:le profil )?([^.(]+) dans ", 1), F.lit("")))
+    """The profile of the rule book that a text refers to; null for none."""
+    flat = F.regexp_replace(T.strip_layout_glyphs(t), r"\s+", " ")
+    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(flat, p, 1)), F.lit("")) for p in PROFILES))
+
+
+def has_challenge(t: Column) -> Column:
+    return T.strip_layout_glyphs(t).rlike(CHALLENGE)
+
+
+def is_type_label(t: Column) -> Column:
+    return F.upper(T.strip(t)).isin(*TYPE_LABELS)
+
+
+def is_ability_block(t: Column, bold: Column) -> Column:
+    text = T.strip_layout_glyphs(t)
+    first = F.get(F.split(text, "\n"), F.lit(0))
+    named = F.contains(text, F.lit(":")) & (first.rlike(ABILITY) | (bold & first.rlike(r":\s*$")))
+    return (text != "") & ~is_stats_line(text) & ~text.rlike(CHALLENGE) & (first.rlike(ATTACK_LINE) | (text.rlike(ABILITY_HINT) & bold) | named)
+
+
+def is_document_of_stats(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, stats): whether a document has both a challenge and a line of attributes."""
+    return blocks.groupBy(*keys).agg((F.bool_or(has_challenge(F.col(text))) & F.bool_or(is_stats_line(T.strip_layout_glyphs(F.col(text))))).alias("stats"))
 
 
 def is_stats_line(t: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import ids
 from quire.functions import text as T
-from quire.operators import audit, blocks, catalog, semantic, sequences, statblocks
+from quire.operators import audit, blocks, catalog, sections, semantic, sequences, statblocks
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,12 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""SELECT source, round(avg(least(1.0::DOUBLE, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) * 50.0::DOUBLE / (612.0 * 792.0)::DOUBLE)), 6) AS coverage, count(*) AS pages,
- CASE WHEN avg(least(1.0::DOUBLE, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) * 50.0::DOUBLE / (612.0 * 792.0)::DOUBLE)) < 0.22 THEN 'rejected' ELSE 'completed' END AS status FROM documents GROUP BY source""")
+ CASE WHEN avg(least(1.0::DOUBLE, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) * 50.0::DOUBLE / (612.0 * 792.0)::DOUBLE)) < 0.3 THEN 'rejected' ELSE 'completed' END AS status FROM documents GROUP BY source""")
 def coverage_by_source(spark, d):
     """Mean text coverage of each source's pages and whether the source is rejected."""
     ratio = G.coverage(F.coalesce("text", F.lit("")), F.lit(612.0), F.lit(792.0))
     out = table(spark, d, "documents").groupBy("source").agg(F.avg(ratio).alias("c"), F.count(F.lit(1)).alias("pages"))
-    return out.select("source", F.round("c", 6).alias("coverage"), "pages", F.when(F.col("c") < 0.22, "rejected").otherwise("completed").alias("status"))
+    return out.select("source", F.round("c", 6).alias("coverage"), "pages", F.when(F.col("c") < 0.3, "rejected").otherwise("completed").alias("status"))
 
 
 @query(f"WITH {BLOCKS} SELECT document, page, block_index, x0, y0, x1, y1, round_even(y0 / 5, 0)::DOUBLE * 5 AS y_bucket, CASE WHEN (x0 + x1) / 2 < 306 THEN 'left' ELSE 'right' END AS side, 'block_' || document || '_' || lpad(page::VARCHAR, greatest(3, length(page::VARCHAR))::INT, '0') || '_' || lpad(block_index::VARCHAR, greatest(3, length(block_index::VARCHAR))::INT, '0') AS id FROM boxes")
@@ -60,12 +60,17 @@ def repeated_line_watermarks(spark, d):
     return blocks.repeated_texts(_blocks(spark, d), 3, 0.0)
 
 
-@query(rf"WITH {BLOCKS} SELECT document, page, block_index FROM blocks WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}')")
+MARKED_LINES = "concat(text, CASE WHEN block_index % 5 = 0 THEN concat(' a', page, '@shop.example 123456/', page, '/7') WHEN block_index % 7 = 0 THEN ' x@y.org' ELSE '' END)"
+
+
+@query(rf"WITH {BLOCKS} SELECT document, page, block_index FROM (SELECT *, {MARKED_LINES} AS t FROM blocks) WHERE regexp_matches(t, '(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}.*[0-9]{{6}}/[0-9]+/[0-9]+)|(?:[0-9]{{6}}/[0-9]+/[0-9]+.*[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}})') OR regexp_matches(t, '^[^@\n]{{1,80}} - [A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}') OR contains(t, 'passw')")
 def drm_pattern_lines(spark, d):
-    return _blocks(spark, d).where(blocks.matches_drm(F.col("text"), (blocks.EMAIL,))).select("document", "page", "block_index")
+    b = _blocks(spark, d).withColumn("text", F.expr(MARKED_LINES))
+    return b.where(blocks.matches_drm(F.col("text"), ("passw",))).select("document", "page", "block_index")
 
 
-@query(rf"WITH {BLOCKS}, c AS (SELECT document, page, block_index, regexp_replace(regexp_replace(text, '[\p{{Cc}}\p{{Co}}]', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM blocks), m AS (SELECT *, length(t) AS n, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS l FROM c) SELECT document, page, block_index, CASE WHEN n = 0 THEN 'empty' WHEN n < 12 AND l < 4 THEN 'short' WHEN n >= 12 AND l < n * 0.35 THEN 'sparse' END AS rule FROM m WHERE n = 0 OR (n < 12 AND l < 4) OR (n >= 12 AND l < n * 0.35)")
+@query(rf"""WITH {BLOCKS}, c AS (SELECT document, page, block_index, text, trim(regexp_replace(regexp_replace(text, '[\x{{E000}}-\x{{F8FF}}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'), '\s+', ' ', 'g')) AS t FROM blocks), m AS (SELECT *, length(t) AS n, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS l FROM c),
+ r AS (SELECT document, page, block_index, CASE WHEN regexp_matches(text, '(?i)\b(AGI|FOR|CON|INT|PER|CHA|VOL)\s*[+-]|\|\s*NC\s*\d') THEN NULL WHEN regexp_matches(text, '[\x0C\x0F\x{{9A}}]|Princesse d.') THEN 'diagram' WHEN n = 0 THEN 'empty' WHEN n < 12 AND l < 4 THEN 'short' WHEN n >= 12 AND l < n * 0.35 THEN 'sparse' END AS rule FROM m) SELECT * FROM r WHERE rule IS NOT NULL""")
 def garbled_lines(spark, d):
     return _blocks(spark, d).withColumn("rule", blocks.garbled(F.col("text"))).where("rule IS NOT NULL").select("document", "page", "block_index", "rule")
 
@@ -93,16 +98,18 @@ def column_major_sort(spark, d):
     return blocks.spatial_rank(_blocks(spark, d), column_major=True).select("document", "page", "block_index", F.col("rank").cast("long"))
 
 
-@query(r"SELECT conv_id::VARCHAR AS conv_id, turn, list_reduce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda a, x: CASE WHEN regexp_matches(a, '[-­‐‑‒–—−﹣]$') THEN regexp_replace(a, '[-­‐‑‒–—−﹣]$', '') || x ELSE a || ' ' || x END) AS flowed FROM conversations WHERE NOT regexp_matches(text, '\n\s*\n') AND regexp_matches(text, '\S')")
+@query(r"""SELECT conv_id::VARCHAR AS conv_id, turn, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda p: CASE WHEN len(list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) = 0 THEN '' ELSE
+ trim(regexp_replace(list_reduce(list_filter(list_transform(string_split(p, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda a, x: CASE WHEN regexp_matches(a, '[-­‐‑‒–—−﹣]$') THEN regexp_replace(a, '[-­‐‑‒–—−﹣]$', '') || x ELSE a || ' ' || x END), ' {2,}', ' ', 'g')) END), lambda x: x <> ''), chr(10) || chr(10)) AS flowed FROM (SELECT *, replace(text, ', ', '-' || chr(10)) AS t FROM conversations)""")
 def reflow_text(spark, d):
-    rows = table(spark, d, "conversations").where(~F.col("text").rlike(r"\n\s*\n") & F.col("text").rlike(r"\S"))
-    return rows.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", T.reflow(F.col("text")).alias("flowed"))
+    """Every turn, its commas made into line ends within words."""
+    return table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), "turn", T.reflow(F.replace("text", F.lit(", "), F.lit("-\n"))).alias("flowed"))
 
 
-@query(r"SELECT c_custkey, replace(strip_accents(lower(trim(c_mktsegment))), 'ß', 'ss') AS key FROM customer WHERE lower(c_mktsegment) = 'building'")
+@query(r"SELECT c_custkey, strip_accents(lower(trim(c_mktsegment))) AS key, count(*) OVER () AS matches FROM customer WHERE lower(c_mktsegment) = 'building' OR lower(c_name) = 'building'")
 def fold_key_lookup(spark, d):
-    c = table(spark, d, "customer")
-    return c.where(T.fold_key(F.col("c_mktsegment")) == T.fold_key(F.lit(" Building"))).select("c_custkey", T.fold_key(F.col("c_mktsegment")).alias("key"))
+    c = table(spark, d, "customer").withColumn("marked", F.translate("c_mktsegment", "UI", "ÜÎ"))
+    found = catalog.lookup(c, ["marked", "c_name"], F.lit(" Bûilding"), T.fold_key, "c_custkey")
+    return found.select("c_custkey", T.fold_key(F.col("marked")).alias("key"), "matches")
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text ELSE regexp_replace(left(text, 199), '\s+$', '') || '…' END AS preview FROM documents")
@@ -178,25 +185,15 @@ def zone_theta_join(spark, d):
     return j.groupBy("document", "page", "heading").agg(F.count(F.lit(1)).alias("members"))
 
 
-@query(f"""WITH {BLOCKS}, a AS (SELECT * FROM boxes WHERE block_index < 12), p AS (SELECT a.document, a.page, a.block_index AS source_block, b.block_index AS match,
- greatest(0.0, least(a.x1 + 3.0, b.x1) - greatest(a.x0 + 3.0, b.x0)) * greatest(0.0, least(a.y1 + 5.0, b.y1) - greatest(a.y0 + 5.0, b.y0)) AS inter FROM a JOIN a b USING (document, page)), q AS (SELECT *, (inter / (2 * 200.0 * 12.0 - inter))::DOUBLE AS iou FROM p)
- SELECT document, page, source_block, match, round(iou, 6) AS iou FROM q WHERE iou >= 0.05 QUALIFY row_number() OVER (PARTITION BY document, page, source_block ORDER BY round(iou, 9) DESC, match) = 1""")
+@query(f"""WITH {BLOCKS}, p AS (SELECT a.document, a.page, a.block_index AS source_block, b.block_index AS match, sqrt(pow((a.x0 + 3.0 + a.x1 + 3.0 - b.x0 - b.x1) / 2, 2) + pow((a.y0 + 5.0 + a.y1 + 5.0 - b.y0 - b.y1) / 2, 2)) AS far,
+ greatest(0.0, least(a.x1 + 3.0, b.x1) - greatest(a.x0 + 3.0, b.x0)) * greatest(0.0, least(a.y1 + 5.0, b.y1) - greatest(a.y0 + 5.0, b.y0)) AS inter FROM boxes a JOIN boxes b USING (document, page) WHERE b.block_index % 3 = 0), q AS (SELECT *, (inter / (200.0 * 12.0 * 2 - inter))::DOUBLE AS iou FROM p)
+ SELECT document, page, source_block, match, round(iou, 6) AS iou FROM q QUALIFY row_number() OVER (PARTITION BY document, page, source_block ORDER BY CASE WHEN iou >= 0.05 THEN -round(iou, 9) ELSE 0 END, CASE WHEN iou >= 0.05 THEN 0 ELSE round(far, 6) END, match) = 1""")
 def best_iou_match(spark, d):
-    b = _blocks(spark, d).where("block_index < 12").select("document", "page", "block_index", "bbox")
-    x = F.col("bbox")
-    a = b.select("document", "page", F.col("block_index").alias("source_block"), G.box(x["x0"] + 3.0, x["y0"] + 5.0, x["x1"] + 3.0, x["y1"] + 5.0).alias("moved"))
-    j = a.join(b, ["document", "page"]).withColumn("iou", G.iou(F.col("moved"), x)).where("iou >= 0.05")
-    best = j.groupBy("document", "page", "source_block").agg(F.max_by(F.struct("block_index", "iou"), F.struct(F.round("iou", 9), -F.col("block_index"))).alias("m"))
-    return best.select("document", "page", "source_block", F.col("m.block_index").alias("match"), F.round("m.iou", 6).alias("iou"))
-
-
-@query()
-def best_block_match(spark, d):
-    """Every block of every page with its best match in a shifted copy (best_iou_match, held to its SQL, has the first twelve)."""
+    """Every block, shifted, with its best match among every third block of its page, the nearest centre where none overlaps."""
     b = _blocks(spark, d).select("document", "page", "block_index", "bbox")
     x = F.col("bbox")
     moved = b.withColumn("bbox", G.box(x["x0"] + 3.0, x["y0"] + 5.0, x["x1"] + 3.0, x["y1"] + 5.0))
-    return blocks.best_matches(moved, b).withColumn("iou", F.round("iou", 6))
+    return blocks.best_matches(moved, b.where("block_index % 3 = 0")).withColumn("iou", F.round("iou", 6))
 
 
 @query(f"WITH {BLOCKS} SELECT document, page, string_agg(block_index::VARCHAR, ',' ORDER BY block_index) FILTER (WHERE block_index % 2 = 0) AS a, string_agg(block_index::VARCHAR, ',' ORDER BY block_index) FILTER (WHERE block_index % 2 = 1) AS b FROM blocks GROUP BY ALL HAVING count(*) FILTER (WHERE block_index % 2 = 1) > 0")
@@ -217,14 +214,13 @@ def section_tree(spark, d):
     r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("title"))
     n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"), "n_name")
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey"), "s_name")
-    return catalog.tree_paths(r.union(n).union(s), "id", "parent", "title", 4)
+    return catalog.tree_paths(r.union(n).union(s), "id", "parent", "title")
 
 
-@query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM labels) AS classified, count(*) FILTER (WHERE value < 0.5) AS needs_review, count(*) AS events FROM events")
+@query("SELECT count(*) AS chunks, count(toxic) AS classified, count(*) FILTER (WHERE c < 0.5) AS needs_review FROM (SELECT d.doc_id, toxic, (d.doc_id % 10) / 10.0 AS c FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)")
 def conditional_summary(spark, d):
-    docs, labels = (table(spark, d, t).agg(F.count(F.lit(1)).alias(c)) for t, c in (("documents", "chunks"), ("labels", "classified")))
-    ev = table(spark, d, "events").agg(F.count_if(F.col("value") < 0.5).alias("needs_review"), F.count(F.lit(1)).alias("events"))
-    return docs.crossJoin(labels).crossJoin(ev)
+    chunks = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 10 / 10.0).alias("c")).join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return semantic.summary(chunks, "toxic", "c")
 
 
 @query("WITH s AS (SELECT list_aggregate(list_sort(list_distinct(string_split(text, chr(10)))), 'string_agg', '|') AS s, count(*) AS n FROM documents GROUP BY 1) SELECT sum(n)::BIGINT AS chunks, count(*) AS unique_chunks, (sum(n) - count(*))::BIGINT AS duplicates, round(count(*) / sum(n), 6)::DOUBLE AS ratio FROM s")
@@ -235,8 +231,9 @@ def chunk_signature_dups(spark, d):
 
 @query("SELECT o_orderkey, coalesce(m, 1)::BIGINT AS page_end FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def refine_page_end(spark, d):
-    m = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("m"))
-    return table(spark, d, "orders").select("o_orderkey").join(m, "o_orderkey", "left").select("o_orderkey", F.coalesce("m", F.lit(1)).cast("long").alias("page_end"))
+    chunks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("page_end"))
+    found = table(spark, d, "orders").select("o_orderkey", F.lit(1).cast("long").alias("page_end"))
+    return sections.refine_page_ends(found, chunks, ["o_orderkey"])
 
 
 @query(r"SELECT md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS norm, arg_max(doc_id, (length(text)::BIGINT << 32) - doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -263,21 +260,6 @@ def greedy_pack(spark, d):
     return sequences.greedy_pack(c, ["conv_id"], "turn", "s", 800).select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "chunk")
 
 
-@query(f"WITH {BLOCKS}, w AS (SELECT *, lead(text) OVER (PARTITION BY document, page ORDER BY block_index) AS nxt FROM blocks) SELECT document, page, block_index FROM w WHERE NOT regexp_matches(text, '[.!?:;…]\\s*$') AND regexp_matches(nxt, '^\\p{{Ll}}')".replace("\\\\", "\\"))
-def pair_merge(spark, d):
-    w = Window.partitionBy("document", "page").orderBy("block_index")
-    b = _blocks(spark, d).withColumn("nxt", F.lead("text").over(w))
-    return b.where(~F.col("text").rlike(r"[.!?:;…]\s*$") & F.col("nxt").rlike(r"^\p{Ll}")).select("document", "page", "block_index")
-
-
-@query()
-def fold_merge(spark, d):
-    """Lines cut at fixed places and merged again."""
-    lines = _blocks(spark, d).select("document", "page", "block_index", F.split(F.regexp_replace("text", r"(.{60})(?=.)", "$1\n"), "\n").alias("cut"))
-    pieces = lines.select("document", "page", F.posexplode("cut").alias("k", "text"), "block_index").select("document", "page", (F.col("block_index") * 100_000 + F.col("k")).alias("ord"), "text")
-    return blocks.merge_pieces(pieces)
-
-
 @query(f"WITH {BLOCKS}, c AS (SELECT document, page, 2 * block_index AS o, left(text, 1) AS text FROM blocks UNION ALL SELECT document, page, 2 * block_index + 1, substr(text, 2) FROM blocks WHERE length(text) > 1), w AS (SELECT *, lead(text) OVER p AS nxt, lag(text) OVER p AS prv FROM c WINDOW p AS (PARTITION BY document, page ORDER BY o)), m AS (SELECT document, page, o, CASE WHEN regexp_matches(prv, '^\\p{{Lu}}$') AND regexp_matches(text, '^\\p{{Ll}}') THEN prv || text ELSE text END AS text, coalesce(regexp_matches(text, '^\\p{{Lu}}$') AND regexp_matches(nxt, '^\\p{{Ll}}'), false) AS gone FROM w) SELECT document, page, row_number() OVER (PARTITION BY document, page ORDER BY o) - 1 AS block_index, text FROM m WHERE NOT gone")
 def drop_cap_merge(spark, d):
     b = _blocks(spark, d)
@@ -318,18 +300,18 @@ def spoiler_scan(spark, d):
 @query("""SELECT code, target_type, severity, count(*) AS n FROM (
  SELECT 'missing_source_ref' AS code, 'entity' AS target_type, 'error' AS severity FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
  UNION ALL SELECT 'unknown_chunk_id', 'entity', 'error' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size <= 25)
- UNION ALL SELECT 'invalid_chunk_type', 'chunk', 'error' FROM customer WHERE c_mktsegment <> 'BUILDING'
+ UNION ALL SELECT 'invalid_chunk_type', 'chunk', 'error' FROM customer WHERE c_custkey % 4 = 1
  UNION ALL SELECT 'invalid_confidence', 'entity', 'error' FROM events WHERE value NOT BETWEEN 0 AND 1
- UNION ALL SELECT 'player_safe_spoiler', 'entity', 'error' FROM documents WHERE contains(lower(text), 'secret') OR contains(lower(text), 'trap')
+ UNION ALL SELECT 'player_safe_spoiler', 'entity', 'error' FROM documents WHERE regexp_matches(lower(text), 'secret|gm only|gm-only|hidden truth|behind the scenes|actually|in truth|cult leader|true identity|\\bthe truth is\\b')
  UNION ALL SELECT 'relation_missing_source_ref', 'relation', 'warning' FROM orders WHERE o_orderpriority = '5-LOW') GROUP BY ALL""")
 def validate_all(spark, d):
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
     found = [
         semantic.without_refs(o, line, "o_orderkey", "l_orderkey"),
         semantic.unknown_refs(line, table(spark, d, "part").where("p_size <= 25"), "l_orderkey", "l_partkey", "p_partkey"),
-        semantic.bad_labels(table(spark, d, "customer"), "c_custkey", "c_mktsegment", ("BUILDING",)),
+        semantic.bad_labels(table(spark, d, "customer").withColumn("label", F.element_at(F.array(*map(F.lit, ("faction", "introduction", "lore", "npc"))), (F.col("c_custkey") % 4 + 1).cast("int"))), "c_custkey", "label"),
         semantic.bad_confidence(table(spark, d, "events"), "event_id", "value", "entity"),
-        semantic.spoilers(table(spark, d, "documents"), "doc_id", F.col("text"), ("secret", "trap")),
+        semantic.spoilers(table(spark, d, "documents"), "doc_id", F.col("text")),
         semantic.relations_without_refs(o.withColumn("refs", F.when(F.col("o_orderpriority") != "5-LOW", F.array(F.lit(1)))), "o_orderkey", "refs"),
     ]
     return semantic.validate(found).groupBy("code", "target_type", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -395,3 +377,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+from quire.plans import layouts, relations, scalars  # noqa: E402, F401 (they register more queries)

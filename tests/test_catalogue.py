@@ -38,8 +38,5 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in res.fetchall()), key=repr)
 
 
-def test_fold_merge_gives_the_lines_back(spark):
-    lines = {(r["document"], r["page"], r["text"]) for r in catalogue._blocks(spark, FOLDER).collect()}
-    merged = catalogue.fold_merge(spark, FOLDER)
-    assert set(merged.columns) == {"document", "page", "block_index", "text"}
-    assert merged.count() >= len({x[:2] for x in lines})
+def test_every_query_has_its_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())

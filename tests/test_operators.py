@@ -1,11 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
-from quire.operators import audit, blocks, catalog, semantic, sequences, statblocks
+from quire.operators import audit, blocks, catalog, merging, semantic, sequences, statblocks
 from quire.sources.layout import layout_blocks, layout_nodes
 from quire.streaming.coverage import running_coverage
 
@@ -19,7 +20,8 @@ def test_text_functions(spark):
     assert one(spark, T.reflow(T.reflow(F.lit("a\nb")))) == "a b"
     assert one(spark, T.preview(F.lit("x" * 300))) == "x" * 199 + "…"
     assert one(spark, T.fold_key(F.lit("  Éclair Straße "))) == "eclair strasse"
-    assert one(spark, T.first_keyword(F.lit("an Ambush and a TRAP"))) == "trap"
+    assert one(spark, T.first_keyword(F.lit("in Truth, a SECRET"))) == "secret" and one(spark, T.first_keyword(F.lit("an ambush and a trap"))) is None
+    assert one(spark, T.fold_key(F.lit(" Ǆ ﬁn Ệ Straße ½ É́"))) == "dz fin e strasse 1⁄2 e"
     assert one(spark, T.slug_from_filename(F.lit("L'Été noir.PDF"))) == "l-ete-noir"
     assert one(spark, T.strip_layout_glyphs(F.lit("W Garde\nW\n\n épée"))) == "Garde\népée"
     assert one(spark, T.from_url_name(T.url_name(F.lit("a b+c é")))) == "a b+c é"
@@ -35,8 +37,13 @@ def test_geometry(spark):
 
 def test_merges(spark):
     rows = [("d", 1, 0, "un long mon-"), ("d", 1, 1, "stre gris"), ("d", 1, 2, "et vert."), ("d", 1, 3, "puis rien"), ("d", 1, 4, "Fin")]
-    out = blocks.merge_pieces(spark.createDataFrame(rows, "document string, page int, ord int, text string")).orderBy("block_index").collect()
-    assert [r["text"] for r in out] == ["un long monstre gris et vert.", "puis rien", "Fin"]
+    style = {"font": F.lit(10.0), "max_font": F.lit(10.0), "bold": F.lit(False), "italic": F.lit(False), "lines": F.lit(1).cast("long"), "role": F.lit(None).cast("string")}
+    pieces = spark.createDataFrame(rows, "document string, page int, ord int, text string").withColumns({"bbox": G.box(F.lit(50.0), F.col("ord") * 12.0, F.lit(250.0), F.col("ord") * 12.0 + 10.0), **style})
+    one_ = F.struct("text", "bbox", *style)
+    w = Window.partitionBy("document", "page").orderBy("ord")
+    pieces = pieces.withColumn("kind", F.when(F.lag("text").over(w).isNotNull(), merging.merge_kind(F.lag(one_).over(w), one_)))
+    out = merging.merge_runs(pieces, ["document", "page"], "ord", "kind").orderBy("block_index").collect()
+    assert [r["lines"] for r in out] == [3, 1, 1] and tuple(out[0]["bbox"]) == (50.0, 0.0, 250.0, 34.0)
     caps = spark.createDataFrame([("d", 1, 0, "L", 20.0, 5.0), ("d", 1, 1, "e roi", 10.0, 9.0), ("d", 1, 2, "Fin", 10.0, 9.0)], "document string, page int, block_index int, text string, font double, x double")
     caps = caps.withColumn("bbox", G.box(F.col("x"), F.lit(0.0), F.lit(50.0), F.lit(9.0)))
     assert [r["text"] for r in blocks.merge_drop_caps(caps).orderBy("block_index").collect()] == ["Le roi", "Fin"]
@@ -81,7 +88,9 @@ def test_stat_blocks(spark):
     assert tuple(one(spark, statblocks.header(F.lit("GARDE NOIR, capitaine | NC 1/2")))) == ("GARDE NOIR", "capitaine", "1/2", None)
     assert one(spark, statblocks.attributes(F.lit("AGI +1 CON -2 AGI +3"))) == {"AGI": 3, "CON": -2}
     assert [tuple(a) for a in one(spark, statblocks.attacks(F.lit("Epée longue +5 · DM 1d8+2")))] == [("Epée longue", 5, "1d8+2")]
-    assert one(spark, statblocks.ability(F.lit("Attaque brutale (L) : il frappe")))["mark"] == "L"
+    assert one(spark, statblocks.ability(F.lit("ATTAQUE BRUTALE (L) : il frappe\n fort"))) == ("ATTAQUE BRUTALE", "il frappe\nfort") and one(spark, statblocks.ability(F.lit("Attaque brutale (L) : il frappe"))) is None
+    assert one(spark, statblocks.attributes(F.lit("agi +2 FOR +1"))) == {"AGI": 2, "FOR": 1} and one(spark, statblocks.header(F.lit("x\nGarde noir | NC 2")))["name"] == "Garde noir"
+    assert one(spark, statblocks.rulebook_reference(F.lit("Voir le profil de gobelin (COF)"))) == one(spark, statblocks.rulebook_reference(F.lit("Utilisez le profil du gobelin que vous trouverez dans le livre de règles de COF"))) == "gobelin"
 
 
 def test_layout(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -35,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the files of shuffles and checkpoints removed that no frame refers to any more: Spark does so only when the driver
+    collects its garbage, which may be much later than the next stage needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def batch_count(df: DataFrame, text: str, batch_bytes: int) -> int:
     """Batches needed for about `batch_bytes` of text each (one scan that keeps two sums)."""
     size, rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()

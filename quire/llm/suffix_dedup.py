@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_count, read_table, text_or_empty
+from quire.llm.common import batch_count, read_table, release, text_or_empty
 from quire.llm.words import MULTIPLIER, mix, ragged
 
 WINDOW = 50
@@ -177,6 +177,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     """
     anchor = min(ANCHOR, window)
     spark = docs.sparkSession
+    release(spark)  # what a stage before has left
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text_or_empty(F.col(text)).alias("text"))
     count = max(batch_count(rows, "text", batch_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int").alias("m"), "doc_id", "text")

@@ -210,10 +210,42 @@ def test_html(spark):
 
 
 def test_tree_matching():
-    a = "/html/body/div/p\n/html/body/div.x/p\n/html/body/footer"
-    b = "/html/body/div.ad\n/html/body/div/p\n/html/body/footer"
-    names = html_extract.align(a, b)
-    assert names["/html/body/div/p"] == "/html/body/div/p" and names["/html/body/footer"] == "/html/body/footer"
+    a = html_extract.Page("<html><body><div><p>x</p></div><div class=x><p>y</p></div><footer>z</footer></body></html>")
+    b = html_extract.Page("<html><body><div class=ad>q</div><div><p>x</p></div><footer>z</footer></body></html>")
+    names = html_extract.align(a.tree(), b.tree())
+    node = lambda page, text: next(n for n, t, _, _ in page.blocks if t == text)
+    assert all(names.get(node(a, t), node(a, t)) == node(b, t) for t in "xz") and names[a.nodes[node(a, "y")][0]] == node(b, "q")
+
+
+def test_heaviest_increasing_is_that_of_brute_force():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(0, 8))
+        places, weights = (rng.permutation(n) + 1).tolist(), rng.integers(1, 5, n).tolist()
+        want = max(sum(weights[i] for i in c) for k in range(n + 1) for c in combinations(range(n), k) if all(places[i] < places[j] for i, j in zip(c, c[1:])))
+        got = html_extract.heaviest_increasing(places, weights)
+        assert sum(weights[i] for i in got) == want and all(places[i] < places[j] for i, j in zip(got, got[1:]))
+
+
+def test_html_template_beside_content(spark):
+    rows = [(i, "http://a.example/x", f"<body><div>menu one</div><div>article {i}</div><div>all rights</div></body>") for i in range(9)]
+    rows += [(20 + i, "http://b.example/x", f"<body><section><p>notice</p><p>text {i}</p><p>more {i}</p></section></body>") for i in range(9)]
+    rows += [(40 + i, "http://c.example/x", f"<body><div>menu</div><article><h2>By the staff</h2><p>text {i}</p></article></body>") for i in range(9)]
+    rows += [(60 + i, "http://d.example/x", f"<body><div class=v{i % 2}><div>menu</div><p>text {i}</p></div></body>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i] == f"article {i}" and got[20 + i] == f"text {i}\n\nmore {i}" and got[40 + i] == f"By the staff\n\ntext {i}" and got[60 + i] == f"text {i}"
+
+
+def test_deep_and_wide_pages(spark):
+    deep = lambda n, x: "<div>" * n + x + "</div>" * n
+    wide = lambda n, x: "".join(f"<div class=c{i}>{x} {i}</div>" for i in range(n))
+    rows = [(i, "http://h.example/", f"<body>{deep(10_000 + i % 2, f'text {i}')}</body>") for i in range(4)] + [(10 + i, "http://w.example/", f"<body>{wide(10_000 + i % 2, f'text {i}')}</body>") for i in range(4)]
+    rows += [(20, "http://p.example/", "</p></div>" * 100_000 + "end"), (21, "http://p.example/", "<p>" * 100_000 + "end"), (22, "http://p.example/", "<p>" + "word " * 400_000)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "text 1" and got[12].startswith("text 2 0\n\ntext 2 1") and got[12].count("\n\n") == 9_999 and got[20] == got[21] == "end" and len(got[22]) == 2_000_000 - 1
 
 
 def test_pii(spark, docs, none):

@@ -4,7 +4,8 @@ Documents are ordered by (hash of the text, doc id). Splitters of that order are
 by refinement: each round counts the exact bytes of the rows in 4096 bins of every key
 range that still holds an unsettled splitter, and only the bin in which a splitter's
 target falls is opened in the next round. A splitter is settled when a bin edge lies within
-`tolerance` of its target, or its bin holds one row or the key has no digits left. Then one exchange orders the rows.
+`tolerance` of its target, or its bin holds one row or the key has no digits left. Then one exchange, by these
+splitters, brings the rows of a shard together.
 
 Equal texts have equal hashes, so a group of copies stays in one shard unless a
 target falls inside a group that is larger than the tolerance; such a group is
@@ -120,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.01,
     """Assign every row of `docs` to one of `shards` shards of nearly equal bytes.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, shard and slot
-    (the row's place in its shard, from 0 without gaps, in key order).
+    (the row's place in its shard, from 0 without gaps).
 
     A null text counts 8 bytes and has the checksum of the empty text. Null doc ids come
     first in the order. Repeated rows are kept, each with a slot of its own (which of two
@@ -136,11 +137,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.01,
         shard = shard + _at_least(s.key).cast("int")
     parts = partitions or max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col(f"_w{i}") for i in range(WORDS)]
-    # the one exchange; a row's index within its range partition is in the low 33 bits of the id
-    placed = keyed.withColumn("shard", shard).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the one exchange, by the splitters' shard; a large shard is several partitions, of rows dealt by their key's hash.
+    # A row's index within its partition is in the low 33 bits of the id
+    sub = F.pmod(F.xxhash64(*order), F.lit(-(-parts // shards))).cast("int")
+    placed = keyed.withColumns({"shard": shard, "_sub": sub}).repartition(parts, "shard", "_sub").sortWithinPartitions("shard", "_sub", *order).drop("_sub")
     placed = cut_lineage(placed.withColumn("_at", F.monotonically_increasing_id()).drop(*(f"_w{i}" for i in range(WORDS))))
     placed = placed.withColumn("_p", F.shiftrightunsigned("_at", 33))
-    # at most partitions + shards rows: each range partition holds a run of consecutive shards
+    # at most a row for each shard and partition that has some of it
     runs = placed.groupBy("shard", "_p").agg(F.min("_at").alias("first"), F.count(F.lit(1)).alias("n")).collect()
     base, before = [], {}
     for r in sorted(runs, key=lambda r: (r["shard"], r["_p"])):

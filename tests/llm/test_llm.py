@@ -73,6 +73,21 @@ def test_sharding(docs, none, spark):
     assert sharding.shard_documents(none, 4).count() == 0
 
 
+def test_splitters_are_those_of_brute_force(spark):
+    """Shards are consecutive ranges of (hash of the text, doc id), each cut where the running size comes nearest its share."""
+    rows = [(i * 7 % 1009, words(i % 300, 5 + i % 90)) for i in range(1009)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r["doc_id"]: r["h"] % (1 << 64) for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = sorted((key[r["doc_id"]], r["doc_id"], r["shard"], r["size"]) for r in sharding.shard_documents(df, 6, tolerance=0.01).collect())
+    assert [r[2] for r in got] == sorted(r[2] for r in got)
+    total, at = sum(r[3] for r in got), 0
+    for shard in range(5):
+        at += sum(r[3] for r in got if r[2] == shard)
+        goal = total * (shard + 1) / 6
+        ends = np.cumsum([r[3] for r in got])
+        assert abs(at - goal) <= max(0.01 * total / 6, np.abs(ends - goal).min()) + 1e-9
+
+
 def test_toxicity(docs, none, spark):
     rng = np.random.default_rng(0)
     bad = ["wretched", "vermin", "imbecile"]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
+from collections.abc import Iterator
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +47,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to map large arrays apart, so that they go back to the system as they are freed."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system; workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+        trim()
+
+
 def batch_count(df: DataFrame, text: str, batch_bytes: int) -> int:
     """Batches needed for about `batch_bytes` of text each (one scan that keeps two sums)."""
     size, rows = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
     return max(1, math.ceil(((size or 0) + 64 * rows) / batch_bytes))
+
+
+_libc()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, read_table
+from quire.llm.common import cut_lineage, parts, read_table
 
 #: Elements by what they do to text; fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -240,7 +240,7 @@ def induce(pages: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[list] = [[], [], [], [], [], []]
             for h, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = Page(raw or "")
@@ -262,7 +262,7 @@ def induce(pages: DataFrame) -> DataFrame:
     refs = trees.groupBy("host").agg(F.max_by(F.struct("tree", "shape"), F.struct("n", "tree")).alias("r")).select("host", F.col("r.tree").alias("ref"), F.col("r.shape").alias("reference"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out: list[list] = [[], [], [], []]
             for h, tree, shape, reference in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for a, b in align(shape, reference).items():
@@ -311,7 +311,7 @@ def extract(pages: DataFrame, url: str = "url", html_column: str = "html", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in parts(batches):
             at = batch.schema.get_field_index
             texts = []
             for page, ref, fixed in zip(*(batch.column(at(c)).to_pylist() for c in (html_column, "_reference", "_fixed"))):

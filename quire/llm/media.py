@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, read_table
+from quire.llm.common import cut_lineage, parts, read_table
 from quire.llm.words import MULTIPLIER, mix
 
 SCALES = (1.0, 0.7071, 0.5)
@@ -230,7 +230,7 @@ def described(images: DataFrame, id_column: str = "id", image: str = "image") ->
     schema = "id long, side int, keys array<long>, spots binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, sides, keys, spots = [], [], [], []
@@ -265,7 +265,7 @@ def find_copies(queries: DataFrame, images: DataFrame, min_votes: int = MIN_VOTE
     rows = pairs.join(described(wanted).select("id", "spots"), "id").join(sides, "qid").select("qid", "id", "qspots", "spots", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             votes = [count_votes(unpack_spots(a), unpack_spots(b), n) for a, b, n in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.int64())], names=["query_id", "id", "votes"])
 
@@ -297,7 +297,7 @@ def _rendered(rows: DataFrame, edited: bool) -> DataFrame:
     """Vectors as mixtures of fixed textures, a number for each; edited: cropped, brighter, less contrast, with noise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             out = []
             for v in batch.column(1).to_pylist():
                 if not v or any(x is None for x in v):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, read_table
+from quire.llm.common import cut_lineage, parts, read_table
 from quire.llm.words import SPACES, Words, ragged, slices, span_hashes, split_words
 
 CAPACITY = 2048
@@ -211,7 +211,7 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path or tokenizer_path())
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in slices(texts):
                 ids, begin = encoder.encode(texts[a:b])

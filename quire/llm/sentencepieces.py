@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import read_table
+from quire.llm.common import parts, read_table
 from quire.llm.words import ragged, slices, span_hashes
 
 SPACE = 0x2581
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, model: str | None = None, doc_id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model or model_path())
-        for batch in batches:
+        for batch in parts(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 ids, begin = m.encode(texts[a:b])
@@ -307,7 +307,7 @@ def decode(rows: DataFrame, model: str | None = None, doc_id: str = "doc_id", id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = piece_model(model or model_path())
-        for batch in batches:
+        for batch in parts(batches):
             lists = [[i for i in x or [] if i is not None] for x in batch.column(1).to_pylist()]
             begin = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             flat = np.array([i for x in lists for i in x], np.int64)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import batch_count, read_table, release, text_or_empty
+from quire.llm.common import batch_count, read_table, release, text_or_empty, trim
 from quire.llm.words import MULTIPLIER, mix, ragged
 
 WINDOW = 50
@@ -184,6 +184,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     batches = rows.groupBy("m")
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
+        trim()
         b = _batch_of(table, window, anchor)
         out = [], [], []
         for k, own in enumerate(b.buckets(count)):
@@ -195,6 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     sent = batches.applyInArrow(send, "bucket int, m int, body binary")
 
     def judge(table: pa.Table) -> pa.Table:
+        trim()
         ms, bodies = table.column("m").to_pylist(), table.column("body").to_pylist()
         parts = [unpack_numbers(x, 3) for x in bodies]
         sizes = [len(p[0]) for p in parts]
@@ -235,6 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
         return flags, masks
 
     def open_contexts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         out = [], [], []
         if left.num_rows and right.num_rows:
             b = _batch_of(left, window, anchor)
@@ -254,6 +257,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     contexts = batches.cogroup(judged.groupBy("m")).applyInArrow(open_contexts, "bucket int, m int, body binary")
 
     def last_passes(table: pa.Table) -> pa.Table:
+        trim()
         ms, bodies = table.column("m").to_pylist(), table.column("body").to_pylist()
         cols, raw = [], []
         for i, x in enumerate(bodies):
@@ -307,6 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        trim()
         if not left.num_rows:
             return pa.table({n: pa.array([], pa.string() if n in ("kept_sha256", "text", "text_md5") else pa.int64()) for n in names})
         b = _batch_of(left, window, anchor)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quire.llm.common import read_table
+from quire.llm.common import parts, read_table
 
 WINDOW_WORDS = 12
 GRAM = 5
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", column: str
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             seen: dict[str | None, float] = {}
             for t in texts:

@@ -64,9 +64,11 @@ def block_cells(own: Column, width: int) -> Column:
 
 
 def dealt(values: Column, blocks: Column) -> Column:
-    """array<blocks> of the digests of each block."""
+    """array<blocks> of the digests of each block. Dealt in two steps, by the upper and the lower half of a block's bits."""
+    low = F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("int")
     mask = (blocks - 1).cast("long")
-    return F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.filter(values, lambda d: d.bitwiseAND(mask) == b))
+    groups = F.transform(F.sequence(F.lit(0), (blocks / low).cast("int") - 1), lambda h: F.filter(values, lambda d: F.floor(d.bitwiseAND(mask) / low) == h))
+    return F.flatten(F.transform(groups, lambda g: F.transform(F.sequence(F.lit(0), low - 1), lambda b: F.filter(g, lambda d: d.bitwiseAND((low - 1).cast("long")) == b))))
 
 
 def sketch(values: Column, width: int) -> Column:

@@ -425,6 +425,19 @@ def test_media(spark):
     assert {r["id"]: r["first"] for r in media.first_of_equal(images).collect()}[33] == 4
 
 
+def test_media_recall_against_brute_force(spark):
+    """Pairs that meet by table keys, of all pairs whose descriptors agree when every one is compared: noise, contrast, crops, scale."""
+    rng = np.random.default_rng(9)
+    images = [media.resize(rng.uniform(30, 220, (14, 14)), 110, 110) for _ in range(40)]
+    edits = [lambda x: x + rng.normal(0, 4, x.shape), lambda x: x[8:96, 12:104] * 0.7 + 40, lambda x: media.resize(x, 78, 78), lambda x: np.rot90(x)[:90]]
+    asked = [np.clip(edits[i % 4](x), 0, 255) for i, x in enumerate(images)]
+    ref, own = [media.describe(x) for x in images], [media.describe(x) for x in asked]
+    keys, wanted = [media.table_keys(*x) for x in ref], [media.table_keys(*x) for x in own]
+    near = [(i, j) for i, a in enumerate(own) for j, b in enumerate(ref) if media.count_votes(a, b, 110) >= media.MIN_VOTES]
+    met = [len(np.intersect1d(wanted[i], keys[j])) >= media.MIN_HITS for i, j in near]
+    assert len(near) >= 30 and np.mean(met) >= 0.9
+
+
 def test_png():
     import struct
 

@@ -9,9 +9,11 @@ band that a similarity of `threshold` allows, gives the similarity common / (wor
 Candidates are not expanded to all pairs of a bucket. Each bucket compares its members with a centre,
 the first member under one of a few orders, so that a family of copies meets a few centres in all.
 After components are found, a bucket that still holds several of them goes on. In a small one
-all pairs of different components are compared. The members of a large one (texts that share a common
-passage, mostly) are compared with further centres, and sketched once more by more k-mers, of which
-those count that few texts have: so texts meet by what sets them apart from the rest of their bucket.
+all pairs of different components are compared. The members of the large ones (texts that share a common
+passage, mostly) are joined exactly: as a similarity asks for so many words in common, two similar texts
+have one in common among the rarest few of each (prefix filter), at a rank that leaves enough words after it.
+What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common.
+Neither leaves out a pair that alignment would take, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ MINIMA = 2
 CHUNK = 64
 #: Orders from which centres are taken.
 CENTRES = 3
+#: Where comparing all pairs gives way to the join by rare words; both are exact.
 SMALL_BUCKET = 32
-#: For texts of large buckets: the k-mers of the second sketch, and in how many of these texts one of them may occur.
-SECOND_MINIMA, RARE = 64, 32
+#: Classes of words by hash, whose counts order words by rarity; bins of a text's counts; texts of a word in one group of the join.
+CLASSES, BINS, GROUP = 1 << 16, 256, 256
 
 
 def labelled_kmers(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,19 +173,81 @@ def _sketch_rows(docs: DataFrame, k: int, sketches: int, minima: int) -> DataFra
     return docs.select("node", "text").mapInArrow(run, "node string, n long, keys array<long>").where("n > 0")
 
 
-def _second_rows(texts: DataFrame, k: int, minima: int) -> DataFrame:
-    """(node, kmer): the `minima` smallest labelled k-mers of each text."""
+def _class_counts(texts: DataFrame) -> np.ndarray:
+    """How many labelled words of `texts` fall in each of `CLASSES` classes; these counts alone reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
         for batch in parts(batches):
-            nodes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
-                kmers, begin = labelled_kmers(texts[a:b], k)
-                low = [np.partition(x, minima)[:minima] if len(x) > minima else x for x in (kmers[begin[i] : begin[i + 1]] for i in range(b - a))]
-                names = np.repeat(np.arange(a, b), [len(x) for x in low])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(names)), pa.array(np.concatenate([np.zeros(0, np.uint64), *low]).view(np.int64))], names=["node", "kmer"])
+                total += np.bincount((labelled_kmers(texts[a:b], 1)[0] % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bin", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CLASSES, np.int64)
+    counts[rows["bin"].to_numpy()] = rows["n"].to_numpy()
+    return counts
+
+
+def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+    """(node, label, n, bag, words) of each text: its number of words, their counts in bins, and its rarest words, rarest first.
+
+    They are so many that a text with a similarity of `threshold` has one of them among its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                words, begin = labelled_kmers(texts[a:b], 1)
+                n = np.diff(begin)
+                doc = np.repeat(np.arange(b - a), n)
+                bags = np.bincount(doc * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=(b - a) * BINS)
+                bags = np.minimum(bags, 0xFFFF).astype("<u2").reshape(b - a, BINS)
+                order = np.lexsort((words, counts[(words % np.uint64(CLASSES)).astype(np.int64)], doc))
+                # of n words threshold * n at least are in common
+                keep = order[np.arange(len(words)) - begin[doc] <= (n - threshold * n + 1e-6)[doc]]
+                first = np.searchsorted(doc[keep], np.arange(b - a + 1))
+                rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words[keep].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary()), rare], names=["node", "label", "n", "bag", "words"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, kmer long")
+    return texts.select("node", "label", "text").mapInArrow(run, "node string, label string, n long, bag binary, words array<long>")
+
+
+def _sift(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of `rows` (a, b, n, nb, bag, bag_b) whose bags allow the similarity: bins in common are as many as words in common, or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (4, 5))
+            low = np.minimum(own, other)
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            # a count at the end of its type may be any larger one
+            fits = (low.sum(axis=1, dtype=np.int64) >= threshold * n / (1 + threshold) - 1e-9) | (low == 0xFFFF).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fits)) for i in (0, 1)], names=["a", "b"])
+
+    return rows.select("a", "b", "n", "nb", "bag", "bag_b").mapInArrow(run, "a string, b string")
+
+
+def _alike_by_words(texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of `texts` (node, label, text) with different labels that may be similar; none that is similar is missing.
+
+    The texts of a word are dealt into groups of about `GROUP`, each of which meets all texts of the word.
+    """
+    rows = cut_lineage(_rare_rows(texts, _class_counts(texts), threshold))
+    flat = cut_lineage(rows.select("node", "label", "n", F.posexplode("words").alias("place", "word")))
+    kinds = flat.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    flat = flat.join(kinds.select("word", F.ceil(F.col("_n") / GROUP).cast("int").alias("_groups")), "word")
+    left = flat.select("word", F.pmod(F.xxhash64("node"), F.col("_groups")).cast("int").alias("_group"), F.col("node").alias("a"), "label", "n", "place")
+    right = flat.select("word", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    # at the first word in common, as many words as are needed are still ahead
+    need = threshold * (F.col("n") + F.col("nb")) / (1 + threshold) - 1e-9
+    met = left.join(right, ["word", "_group"]).where((F.col("label") < F.col("lb")) & (F.col("n") - F.col("place") >= need) & (F.col("nb") - F.col("pb") >= need))
+    met = met.where(_comparable("n", "nb", threshold)).select("a", "b").distinct()
+    met = met.join(rows.select(F.col("node").alias("a"), "n", "bag"), "a").join(rows.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bag").alias("bag_b")), "b")
+    return _sift(met, threshold)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -224,8 +289,8 @@ def near_links(nodes: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, s
     """Verified links (a, b, similarity) between distinct texts of `nodes` (node: the text's identity, text) that connect each class."""
     members = cut_lineage(_sketch_rows(nodes, k, sketches, minima).dropDuplicates(["node"]))
     flat = members.select("node", "n", F.posexplode("keys").alias("band", "key"))
-    first = lambda more, *cols: F.min(F.struct(F.xxhash64("node", F.col("band") % CENTRES + more).alias("_o"), "node", "n", *cols))
-    buckets = flat.groupBy("key").agg(first(0).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    first = F.min(F.struct(F.xxhash64("node", F.col("band") % CENTRES).alias("_o"), "node", "n"))
+    buckets = flat.groupBy("key").agg(first.alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
     pairs = flat.join(buckets, "key").select(F.col("node").alias("a"), "n", F.col("c.node").alias("b"), F.col("c.n").alias("nb"))
     pairs = cut_lineage(pairs.where(_comparable("n", "nb", threshold)).select("a", "b").distinct())
     shared = cut_lineage(flat.join(buckets.select("key", "size"), "key").select("node", "n", "band", "key", "size"))
@@ -242,18 +307,13 @@ def near_links(nodes: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, s
     def across(rows: DataFrame, key: str) -> DataFrame:
         """All pairs of different components with a key in common."""
         other = rows.select(key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        return rows.join(other, key).where("node < b AND label <> lb").select(F.col("node").alias("a"), "b", "n", "nb")
+        return rows.join(other, key).where("label < lb").select(F.col("node").alias("a"), "b", "n", "nb")
 
     again = across(mixed.where(F.col("size") <= SMALL_BUCKET), "key")
-    large = mixed.where(F.col("size") > SMALL_BUCKET)
-    centres = large.groupBy("key").agg(first(CENTRES, "label").alias("c"))
-    again = again.unionByName(large.join(centres, "key").where("label <> c.label").select(F.col("node").alias("a"), F.col("c.node").alias("b"), "n", F.col("c.n").alias("nb")))
-    apart = cut_lineage(large.select("node", "n", "label").distinct())
-    second = cut_lineage(_second_rows(texts.join(apart.select("node"), "node", "left_semi"), k, SECOND_MINIMA))
-    rare = second.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n").between(2, RARE)).select("kmer")
-    again = again.unionByName(across(second.join(rare, "kmer").join(apart, "node"), "kmer"))
-    again = again.where(_comparable("n", "nb", threshold)).select("a", "b").distinct()
-    del labels, named, kinds, mixed, large, centres, apart, second, rare
+    again = again.where(_comparable("n", "nb", threshold)).select("a", "b")
+    apart = mixed.where(F.col("size") > SMALL_BUCKET).select("node", "label").distinct()
+    again = again.unionByName(_alike_by_words(cut_lineage(texts.join(apart, "node")), threshold)).distinct()
+    del labels, named, kinds, mixed, apart
     again = cut_lineage(again.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     del pairs, shared
     release(nodes.sparkSession)

@@ -163,6 +163,52 @@ def test_large_buckets_lose_no_links(spark):
     assert [i for i in planted if got[1000 + i] != got[i]] == []
 
 
+def versions(pool, pairs):
+    """Texts with a passage in common and 24 places, each in one of two versions that about half of all texts have. All differ in
+    five places or more (similarity below 0.8), but for `pairs` of them, i and 1000 + i, that differ in one. With one sketch of one k-mer all meet in one bucket."""
+    rng = np.random.default_rng(14)
+    codes = []
+    while len(codes) < pool:
+        c = rng.integers(0, 2, 24)
+        if all((c != d).sum() >= 7 for d in codes):
+            codes.append(c)
+    own = [[words(3000 + 2 * p + v, 8) for v in (0, 1)] for p in range(24)]
+    between = [words(3100 + p, 4) for p in range(24)]
+    text = lambda c: " ".join(f"{between[p]} {own[p][c[p]]}" for p in range(24))
+    rows = [(i, text(c)) for i, c in enumerate(codes)] + [(1000 + i, text([v ^ (p == i % 24) for p, v in enumerate(codes[i])])) for i in range(pairs)]
+    for seed in range(200):
+        whole = [(i, f"{words(3200 + seed, 60)} {t}") for i, t in rows]
+        if len(np.unique(near_dedup.order_sketches(*near_dedup.labelled_kmers([t for _, t in whole], 5), 1, 1))) == 1:
+            return whole
+    raise AssertionError("no passage with the smallest k-mer")
+
+
+def test_large_bucket_of_common_kmers_loses_no_link(spark):
+    """No k-mer of these texts is rare, so only an exact way for large buckets finds the pairs."""
+    nodes = spark.createDataFrame(versions(160, 40), "id long, text string").select(F.col("id").cast("string").alias("node"), "text")
+    links = near_dedup.near_links(nodes, sketches=1, minima=1).collect()
+    assert {tuple(sorted((int(r["a"]), int(r["b"])))) for r in links} == {(i, 1000 + i) for i in range(40)}
+
+
+def test_join_by_rare_words_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(15)
+    texts = []
+    for _ in range(60):
+        w = [f"w{x}" for x in rng.integers(0, int(rng.choice([3, 30, 300])), int(rng.integers(5, 80)))]
+        texts.append(w)
+        for _ in range(3):
+            w = list(w)
+            for at in rng.choice(len(w), max(1, len(w) // 11), replace=False):
+                w[at : at + 1] = [[], ["new"], [w[at], "w1"]][int(rng.integers(3))] if at < len(w) else []
+            texts.append(w)
+    texts += [["same"] * 70_000, ["same"] * 60_000]
+    table = [(f"{i:03}", f"{i:03}", " ".join(w)) for i, w in enumerate(texts)]
+    met = {tuple(r) for r in near_dedup._alike_by_words(spark.createDataFrame(table, "node string, label string, text string"), 0.8).collect()}
+    hashed = [np.array([zlib.crc32(x.encode()) for x in w]) for w in texts]
+    alike = {(f"{i:03}", f"{j:03}") for j in range(len(texts)) for i in range(j) if near_dedup.aligned(hashed[i], hashed[j], 0.8)}
+    assert len(alike) > 100 and alike <= met
+
+
 def test_alignment_is_that_of_brute_force():
     def longest(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

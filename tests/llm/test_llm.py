@@ -518,3 +518,11 @@ def test_fingerprint_of_a_short_text_is_like_its_edited_one(spark):
     rows = [(i, "".join(f"{(i * 7919 + k * 104729) % 1000003:06d}" for k in range(20))) for i in range(3)]  # one line of 120 code points
     got = fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(r["near_edited"] >= 1 / 3 for r in got) and all(r["near_next"] == 0 for r in got)
+
+
+def test_pipeline_finds_near_copies_in_a_large_bucket(spark, monkeypatch):
+    rows = versions(160, 40)
+    links = near_dedup.near_links
+    monkeypatch.setattr(near_dedup, "near_links", lambda nodes, k, threshold: links(nodes, k, threshold, sketches=1, minima=1))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(range(160))

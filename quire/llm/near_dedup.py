@@ -12,12 +12,14 @@ After components are found, a bucket that still holds several of them goes on. I
 all pairs of different components are compared. The members of the large ones (texts that share a common
 passage, mostly) are joined exactly: as a similarity asks for so many words in common, two similar texts
 have one in common among the rarest few of each (prefix filter), at a rank that leaves enough words after it.
-What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common.
+What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common; both happen
+within a part of the words, so that only pairs left for alignment are rows.
 Neither leaves out a pair that alignment would take, whatever the size of the bucket.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import cut_lineage, parts, read_table, release, text_or_empty
 from quire.llm.components import components
-from quire.llm.words import MULTIPLIER, mix, slices, split_words
+from quire.llm.words import MULTIPLIER, mix, ragged, slices, split_words
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -39,7 +41,9 @@ CENTRES = 3
 #: Where comparing all pairs gives way to the join by rare words; both are exact.
 SMALL_BUCKET = 32
 #: Classes of words by hash, whose counts order words by rarity; bins of a text's counts; texts of a word in one group of the join.
-CLASSES, BINS, GROUP = 1 << 16, 256, 256
+CLASSES, BINS, GROUP = 1 << 16, 256, 4096
+#: Parts of the join by rare words, at least, and about so many words of texts in one.
+PARTS, ENTRIES = 16, 200_000
 
 
 def labelled_kmers(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,62 +196,100 @@ def _class_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(node, label, n, bag, words) of each text: its number of words, their counts in bins, and its rarest words, rarest first.
+    """(part, node, label, n, bag, keys, places, sides): a row for each text and each part that some of its rarest words fall in.
 
-    They are so many that a text with a similarity of `threshold` has one of them among its own.
+    The rarest words, rarest first, are so many that a text with a similarity of `threshold` has one of them among its own. A word
+    of many texts is dealt: the texts of one group meet in a part of their own, the texts of two groups in another, as its two sides
+    (0 and 1; 2: all meet all). `bag` has the counts of words in bins.
     """
+    total = max(PARTS, -int(-counts.sum() * (1 - threshold) // ENTRIES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts = batch.column(2).to_pylist()
+            texts, nodes, labels = batch.column(2).to_pylist(), batch.column(0), batch.column(1)
             for a, b in slices(texts):
                 words, begin = labelled_kmers(texts[a:b], 1)
                 n = np.diff(begin)
                 doc = np.repeat(np.arange(b - a), n)
                 bags = np.bincount(doc * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=(b - a) * BINS)
-                bags = np.minimum(bags, 0xFFFF).astype("<u2").reshape(b - a, BINS)
-                order = np.lexsort((words, counts[(words % np.uint64(CLASSES)).astype(np.int64)], doc))
-                # of n words threshold * n at least are in common
-                keep = order[np.arange(len(words)) - begin[doc] <= (n - threshold * n + 1e-6)[doc]]
-                first = np.searchsorted(doc[keep], np.arange(b - a + 1))
-                rare = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(words[keep].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in bags], pa.binary()), rare], names=["node", "label", "n", "bag", "words"])
-
-    return texts.select("node", "label", "text").mapInArrow(run, "node string, label string, n long, bag binary, words array<long>")
-
-
-def _sift(rows: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of `rows` (a, b, n, nb, bag, bag_b) whose bags allow the similarity: bins in common are as many as words in common, or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            own, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (4, 5))
-            low = np.minimum(own, other)
-            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            # a count at the end of its type may be any larger one
-            fits = (low.sum(axis=1, dtype=np.int64) >= threshold * n / (1 + threshold) - 1e-9) | (low == 0xFFFF).any(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(fits)) for i in (0, 1)], names=["a", "b"])
-
-    return rows.select("a", "b", "n", "nb", "bag", "bag_b").mapInArrow(run, "a string, b string")
+                bags = np.minimum(bags, 0xFF).astype(np.uint8).reshape(b - a, BINS)
+                often = counts[(words % np.uint64(CLASSES)).astype(np.int64)]
+                order = np.lexsort((words, often, doc))
+                # of n words threshold * n at least are in common; a word of one text meets none
+                kept = (np.arange(len(words)) - begin[doc] <= (n - threshold * n + 1e-6)[doc]) & (often[order] > 1)
+                order, place = order[kept], (np.arange(len(words)) - begin[doc])[kept]
+                groups = -(-often[order] // GROUP)
+                own = (mix(words[order] ^ (mix(np.array([zlib.crc32(x.encode()) for x in nodes.slice(a, b - a).to_pylist()], np.uint64)))[doc[order]]) % groups.astype(np.uint64)).astype(np.int64)
+                entry = np.repeat(np.arange(len(order)), groups)
+                mine, other = own[entry], ragged(np.zeros(len(order), np.int64), groups)
+                key = words[order][entry]
+                dealt = groups[entry] > 1
+                key[dealt] = mix(mix(key[dealt]) + (np.minimum(mine, other) * groups[entry] + np.maximum(mine, other))[dealt].astype(np.uint64))
+                side = np.where(mine == other, 2, mine > other)
+                part = (mix(key) % np.uint64(total)).astype(np.int64)
+                at = np.lexsort((part, doc[order][entry]))
+                row = doc[order][entry][at] * total + part[at]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                who, ends = row[first] // total, pa.array(np.append(first, len(at)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(key[at].view(np.int64)), pa.array(place[entry][at], pa.int32()), pa.array(side[at], pa.int8()))]
+                there = [nodes.slice(a, b - a).take(pa.array(who)), labels.slice(a, b - a).take(pa.array(who)), pa.array(n[who], pa.int64()), pa.array([bags[i].tobytes() for i in who], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(row[first] % total, pa.int32()), *there, *lists], names=["part", "node", "label", "n", "bag", "keys", "places", "sides"])
+
+    return texts.select("node", "label", "text").mapInArrow(run, "part int, node string, label string, n long, bag binary, keys array<long>, places array<int>, sides array<tinyint>")
+
+
+def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bags: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of texts (a, b) of a part, label[a] < label[b], that have a key in common and may be similar, each once.
+
+    At the first word in common, as many words as are needed are still ahead of both; and bins have as many words in
+    common as the texts, or more.
+    """
+    share = threshold / (1 + threshold)
+    order = np.argsort(keys, kind="stable")
+    keys, text, side = keys[order], text[order], side[order]
+    have, ask, label_at = (n[text] - place[order]) - share * n[text] + 1e-9, share * n[text], label[text]
+    met, fresh, held = np.zeros(0, np.int64), [], 0
+    at, step = np.arange(len(keys)), 1
+    while len(at):
+        at = at[at + step < len(keys)]
+        at = at[keys[at] == keys[at + step]]
+        to = at + step
+        good = (label_at[at] != label_at[to]) & ((side[at] != side[to]) | (side[at] == 2)) & (have[at] >= ask[to]) & (have[to] >= ask[at])
+        i, j = text[at[good]], text[to[good]]
+        fresh.append(np.where(label[i] < label[j], i * len(n) + j, j * len(n) + i))
+        held += len(i)
+        if held > 1 << 21:
+            met, fresh, held = np.unique(np.concatenate([met, *fresh])), [], 0
+        step += 1
+    met = np.unique(np.concatenate([met, *fresh]))
+    fits = [np.zeros(0, bool)]
+    for lo in range(0, len(met), 1 << 16):
+        i, j = np.divmod(met[lo : lo + (1 << 16)], len(n))
+        low = np.minimum(bags[i], bags[j])
+        # a count at the end of its type may be any larger one
+        fits.append((low.sum(axis=1, dtype=np.int64) >= share * (n[i] + n[j]) - 1e-9) | (low == 0xFF).any(axis=1))
+    i, j = np.divmod(met[np.concatenate(fits)], max(1, len(n)))
+    return i, j
 
 
 def _alike_by_words(texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of `texts` (node, label, text) with different labels that may be similar; none that is similar is missing.
 
-    The texts of a word are dealt into groups of about `GROUP`, each of which meets all texts of the word.
+    Words are dealt into parts of about `ENTRIES` entries, a word of more than `GROUP` texts into several; a part's pairs are
+    found and sifted within it, so that neither words nor pairs that fail are rows.
     """
-    rows = cut_lineage(_rare_rows(texts, _class_counts(texts), threshold))
-    flat = cut_lineage(rows.select("node", "label", "n", F.posexplode("words").alias("place", "word")))
-    kinds = flat.groupBy("word").agg(F.count(F.lit(1)).alias("_n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    flat = flat.join(kinds.select("word", F.ceil(F.col("_n") / GROUP).cast("int").alias("_groups")), "word")
-    left = flat.select("word", F.pmod(F.xxhash64("node"), F.col("_groups")).cast("int").alias("_group"), F.col("node").alias("a"), "label", "n", "place")
-    right = flat.select("word", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    # at the first word in common, as many words as are needed are still ahead
-    need = threshold * (F.col("n") + F.col("nb")) / (1 + threshold) - 1e-9
-    met = left.join(right, ["word", "_group"]).where((F.col("label") < F.col("lb")) & (F.col("n") - F.col("place") >= need) & (F.col("nb") - F.col("pb") >= need))
-    met = met.where(_comparable("n", "nb", threshold)).select("a", "b").distinct()
-    met = met.join(rows.select(F.col("node").alias("a"), "n", "bag"), "a").join(rows.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bag").alias("bag_b")), "b")
-    return _sift(met, threshold)
+    rows = _rare_rows(texts, _class_counts(texts), threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        node, words = table["node"].combine_chunks(), table["keys"].combine_chunks()
+        label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
+        bags = np.frombuffer(b"".join(table["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+        flat = [table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "places", "sides")]
+        text = np.repeat(np.arange(len(node)), words.value_lengths().to_numpy())
+        a, b = meet(flat[0], text, flat[1], flat[2], label, table["n"].to_numpy(), bags, threshold)
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    return rows.groupBy("part").applyInArrow(run, "a string, b string").distinct()
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -257,7 +299,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     ahead of them; a task keeps one centre at a time.
     """
     sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n"))
-    dealt = pairs.join(sizes, "b").withColumn("_c", F.pmod(F.xxhash64("a"), F.ceil(F.col("_n") / CHUNK)).cast("int")).select("a", "b", "_c")
+    # dealt once, for members and for centres
+    dealt = cut_lineage(pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("_n") / CHUNK)).cast("int").alias("_c")))
     members = dealt.join(texts, dealt["a"] == texts["node"]).select("b", "_c", "a", F.lit(1).alias("_kind"), "text")
     centres = dealt.select("b", "_c").distinct().join(texts, F.col("b") == texts["node"]).select("b", "_c", F.lit(None).cast("string").alias("a"), F.lit(0).alias("_kind"), "text")
     count = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -209,6 +209,20 @@ def test_join_by_rare_words_is_that_of_brute_force(spark):
     assert len(alike) > 100 and alike <= met
 
 
+def test_join_by_rare_words_makes_no_row_of_a_pair_that_fails(spark, monkeypatch):
+    """A family of texts in one large bucket: neither words nor pairs are rows, and words dealt into groups give the same pairs."""
+    table = spark.createDataFrame([(f"{i:04}", f"{i:04}", t) for i, t in versions(160, 40)], "node string, label string, text string")
+    pairs = near_dedup._alike_by_words(table, 0.8)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    whole = {tuple(r) for r in pairs.collect()}
+    assert {(f"{i:04}", f"{1000 + i:04}") for i in range(40)} <= whole
+    rows = near_dedup._rare_rows(table, near_dedup._class_counts(table), 0.8)
+    assert rows.groupBy("node").count().where(F.col("count") > near_dedup.PARTS).count() == 0
+    monkeypatch.setattr(near_dedup, "GROUP", 16)
+    assert {tuple(r) for r in near_dedup._alike_by_words(table, 0.8).collect()} == whole
+
+
 def test_alignment_is_that_of_brute_force():
     def longest(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

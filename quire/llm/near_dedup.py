@@ -12,8 +12,9 @@ After components are found, a bucket that still holds several of them goes on. I
 all pairs of different components are compared. The members of the large ones (texts that share a common
 passage, mostly) are joined exactly: as a similarity asks for so many words in common, two similar texts
 have one in common among the rarest few of each (prefix filter), at a rank that leaves enough words after it.
-What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common; both happen
-within a part of the words, so that only pairs left for alignment are rows.
+What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common, and what is left
+is aligned. All of it happens within a part of the words, to which the texts go; a pair is looked at in one part alone, that of
+the rarest word it has in common, and only links that join two components there are rows, fewer than the part has texts.
 Neither leaves out a pair that alignment would take, whatever the size of the bucket.
 """
 
@@ -42,8 +43,8 @@ CENTRES = 3
 SMALL_BUCKET = 32
 #: Classes of words by hash, whose counts order words by rarity; bins of a text's counts; texts of a word in one group of the join.
 CLASSES, BINS, GROUP = 1 << 16, 256, 4096
-#: Parts of the join by rare words, at least, and about so many words of texts in one.
-PARTS, ENTRIES = 16, 200_000
+#: Parts of the join by rare words, at least, and about so many words of texts in one (each may come with a text).
+PARTS, ENTRIES = 16, 50_000
 
 
 def labelled_kmers(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,36 +196,68 @@ def _class_counts(texts: DataFrame) -> np.ndarray:
     return counts
 
 
+def _part_count(counts: np.ndarray, threshold: float) -> int:
+    """Parts of the join by rare words."""
+    return max(PARTS, -int(-counts.sum() * (1 - threshold) // ENTRIES))
+
+
+def _often(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many texts have each word, at most."""
+    return counts[(words % np.uint64(CLASSES)).astype(np.int64)]
+
+
+def _rarest(words: np.ndarray, begin: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text's rarest words are, rarest first, and their places in that order.
+
+    They are so many that a text with a similarity of `threshold` has one of them among its own: of n words threshold * n at
+    least are in common. A word of one text meets none.
+    """
+    n = np.diff(begin)
+    doc = np.repeat(np.arange(len(n)), n)
+    often = _often(words, counts)
+    order, place = np.lexsort((words, often, doc)), np.arange(len(words)) - begin[doc]
+    kept = (place <= (n - threshold * n + 1e-6)[doc]) & (often[order] > 1)
+    return order[kept], place[kept]
+
+
+def _dealt_to(words: np.ndarray, groups: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The group of a word's texts that a text (by its node's hash) is in."""
+    return (mix(words ^ mix(nodes)) % groups.astype(np.uint64)).astype(np.int64)
+
+
+def _meeting_keys(words: np.ndarray, groups: np.ndarray, mine: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The key under which texts of two groups of a word meet, the word itself if it has one group."""
+    dealt = mix(mix(words) + (np.minimum(mine, other) * groups + np.maximum(mine, other)).astype(np.uint64))
+    return np.where(groups > 1, dealt, words)
+
+
+def _node_hashes(nodes: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) for x in nodes], np.uint64)
+
+
 def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(part, node, label, n, bag, keys, places, sides): a row for each text and each part that some of its rarest words fall in.
+    """(part, node, label, text, n, bag, keys, places, sides): a row for each text and each part that some of its rarest words fall in.
 
-    The rarest words, rarest first, are so many that a text with a similarity of `threshold` has one of them among its own. A word
-    of many texts is dealt: the texts of one group meet in a part of their own, the texts of two groups in another, as its two sides
-    (0 and 1; 2: all meet all). `bag` has the counts of words in bins.
+    A word of many texts is dealt: the texts of one group meet in a part of their own, the texts of two groups in another, as
+    its two sides (0 and 1; 2: all meet all). `bag` has the counts of words in bins.
     """
-    total = max(PARTS, -int(-counts.sum() * (1 - threshold) // ENTRIES))
+    total = _part_count(counts, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            texts, nodes, labels = batch.column(2).to_pylist(), batch.column(0), batch.column(1)
+            texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
                 words, begin = labelled_kmers(texts[a:b], 1)
                 n = np.diff(begin)
                 doc = np.repeat(np.arange(b - a), n)
                 bags = np.bincount(doc * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=(b - a) * BINS)
                 bags = np.minimum(bags, 0xFF).astype(np.uint8).reshape(b - a, BINS)
-                often = counts[(words % np.uint64(CLASSES)).astype(np.int64)]
-                order = np.lexsort((words, often, doc))
-                # of n words threshold * n at least are in common; a word of one text meets none
-                kept = (np.arange(len(words)) - begin[doc] <= (n - threshold * n + 1e-6)[doc]) & (often[order] > 1)
-                order, place = order[kept], (np.arange(len(words)) - begin[doc])[kept]
-                groups = -(-often[order] // GROUP)
-                own = (mix(words[order] ^ (mix(np.array([zlib.crc32(x.encode()) for x in nodes.slice(a, b - a).to_pylist()], np.uint64)))[doc[order]]) % groups.astype(np.uint64)).astype(np.int64)
+                order, place = _rarest(words, begin, counts, threshold)
+                groups = -(-_often(words[order], counts) // GROUP)
+                own = _dealt_to(words[order], groups, _node_hashes(batch.column(0).slice(a, b - a).to_pylist())[doc[order]])
                 entry = np.repeat(np.arange(len(order)), groups)
                 mine, other = own[entry], ragged(np.zeros(len(order), np.int64), groups)
-                key = words[order][entry]
-                dealt = groups[entry] > 1
-                key[dealt] = mix(mix(key[dealt]) + (np.minimum(mine, other) * groups[entry] + np.maximum(mine, other))[dealt].astype(np.uint64))
+                key = _meeting_keys(words[order][entry], groups[entry], mine, other)
                 side = np.where(mine == other, 2, mine > other)
                 part = (mix(key) % np.uint64(total)).astype(np.int64)
                 at = np.lexsort((part, doc[order][entry]))
@@ -232,10 +265,13 @@ def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFr
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 who, ends = row[first] // total, pa.array(np.append(first, len(at)), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(key[at].view(np.int64)), pa.array(place[entry][at], pa.int32()), pa.array(side[at], pa.int8()))]
-                there = [nodes.slice(a, b - a).take(pa.array(who)), labels.slice(a, b - a).take(pa.array(who)), pa.array(n[who], pa.int64()), pa.array([bags[i].tobytes() for i in who], pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(row[first] % total, pa.int32()), *there, *lists], names=["part", "node", "label", "n", "bag", "keys", "places", "sides"])
+                out = pa.RecordBatch.from_arrays([pa.array(row[first] % total, pa.int32()), pa.array(n[who], pa.int64()), pa.array([bags[i].tobytes() for i in who], pa.binary()), *lists], names=["part", "n", "bag", "keys", "places", "sides"])
+                for lo, hi in slices([texts[a + i] for i in who]):
+                    there = [batch.column(c).slice(a, b - a).take(pa.array(who[lo:hi])) for c in range(3)]
+                    some = out.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([some.column(0), *there, *some.columns[1:]], names=["part", "node", "label", "text", *some.schema.names[1:]])
 
-    return texts.select("node", "label", "text").mapInArrow(run, "part int, node string, label string, n long, bag binary, keys array<long>, places array<int>, sides array<tinyint>")
+    return texts.select("node", "label", "text").mapInArrow(run, "part int, node string, label string, text string, n long, bag binary, keys array<long>, places array<int>, sides array<tinyint>")
 
 
 def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bags: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -272,13 +308,45 @@ def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray
     return i, j
 
 
-def _alike_by_words(texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of `texts` (node, label, text) with different labels that may be similar; none that is similar is missing.
+def rarest_in_common(texts: list[str], nodes: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, threshold: float, group: int) -> np.ndarray:
+    """The key under which the texts of each pair (a, b), which have some of their rarest words in common, meet at the first of these."""
+    words, begin = labelled_kmers(texts, 1)
+    at, _ = _rarest(words, begin, counts, threshold)
+    doc = np.repeat(np.arange(len(texts)), np.diff(begin))[at]
+    own = [x.tolist() for x in np.split(words[at], np.searchsorted(doc, np.arange(1, len(texts))))]
+    sets = [set(x) for x in own]
+    first = np.array([next(w for w in own[i] if w in sets[j]) for i, j in zip(a.tolist(), b.tolist())], np.uint64)
+    groups = -(-_often(first, counts) // group)
+    return _meeting_keys(first, groups, _dealt_to(first, groups, nodes[a]), _dealt_to(first, groups, nodes[b]))
+
+
+def spanning(words: list[np.ndarray], label: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (a, b, similarity) among the pairs that join the labels which all similar pairs join; a pair that is joined is not aligned."""
+    names, of = np.unique(label, return_inverse=True)
+    root, of, links = list(range(len(names))), of.tolist(), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = top(of[i]), top(of[j])
+        if x != y and (similarity := aligned(words[i], words[j], threshold)):
+            root[x] = y
+            links.append((i, j, similarity))
+    return links
+
+
+def _alike_by_words(texts: DataFrame, threshold: float, linked: bool = False) -> DataFrame:
+    """The pairs (a, b) of `texts` (node, label, text) with different labels that may be similar, each once; none that is similar is missing.
+    `linked`: of these the links (a, b, similarity) that join the labels which all similar pairs join.
 
     Words are dealt into parts of about `ENTRIES` entries, a word of more than `GROUP` texts into several; a part's pairs are
-    found and sifted within it, so that neither words nor pairs that fail are rows.
+    found, sifted and aligned within it, so that neither words nor pairs that fail are rows. A part has fewer links than labels.
     """
-    rows = _rare_rows(texts, _class_counts(texts), threshold)
+    counts = _class_counts(texts)
+    total = _part_count(counts, threshold)
 
     def run(table: pa.Table) -> pa.Table:
         node, words = table["node"].combine_chunks(), table["keys"].combine_chunks()
@@ -287,9 +355,26 @@ def _alike_by_words(texts: DataFrame, threshold: float) -> DataFrame:
         flat = [table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "places", "sides")]
         text = np.repeat(np.arange(len(node)), words.value_lengths().to_numpy())
         a, b = meet(flat[0], text, flat[1], flat[2], label, table["n"].to_numpy(), bags, threshold)
-        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
-
-    return rows.groupBy("part").applyInArrow(run, "a string, b string").distinct()
+        # texts of pairs alone, by their place among these
+        some = np.unique(np.concatenate([a, b]))
+        a, b, label, node = np.searchsorted(some, a), np.searchsorted(some, b), label[some], node.take(pa.array(some))
+        bodies = table["text"].take(pa.array(some)).to_pylist()
+        if len(a):
+            keys = rarest_in_common(bodies, _node_hashes(node.to_pylist()), a, b, counts, threshold, GROUP)
+            here = mix(keys) % np.uint64(total) == np.uint64(table["part"][0].as_py())
+            a, b = a[here], b[here]
+        if not linked:
+            return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+        hashed = []
+        for lo, hi in slices(bodies):
+            w = split_words(bodies[lo:hi])
+            hashed += np.split(w.hashes, w.first[1:-1])
+        links = spanning(hashed, label, a, b, threshold)
+        a, b, similarity = (pa.array([x[c] for x in links], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
+        return pa.table({"a": node.take(a), "b": node.take(b), "similarity": similarity})
+
+    rows = _rare_rows(texts, counts, threshold).repartition(total, "part")
+    return rows.groupBy("part").applyInArrow(run, "a string, b string" + ", similarity double" * linked)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -353,9 +438,9 @@ def near_links(nodes: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, s
         return rows.join(other, key).where("label < lb").select(F.col("node").alias("a"), "b", "n", "nb")
 
     again = across(mixed.where(F.col("size") <= SMALL_BUCKET), "key")
-    again = again.where(_comparable("n", "nb", threshold)).select("a", "b")
+    again = again.where(_comparable("n", "nb", threshold)).select("a", "b").distinct()
     apart = mixed.where(F.col("size") > SMALL_BUCKET).select("node", "label").distinct()
-    again = again.unionByName(_alike_by_words(cut_lineage(texts.join(apart, "node")), threshold)).distinct()
+    links = links.unionByName(cut_lineage(_alike_by_words(cut_lineage(texts.join(apart, "node")), threshold, linked=True)))
     del labels, named, kinds, mixed, apart
     again = cut_lineage(again.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     del pairs, shared

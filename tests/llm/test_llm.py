@@ -223,6 +223,37 @@ def test_join_by_rare_words_makes_no_row_of_a_pair_that_fails(spark, monkeypatch
     assert {tuple(r) for r in near_dedup._alike_by_words(table, 0.8).collect()} == whole
 
 
+@pytest.mark.parametrize("group", [16, 4096])
+def test_join_by_rare_words_makes_fewer_rows_than_texts(spark, monkeypatch, group):
+    """Families whose members are all alike, and texts just short of it: each pair is met once, and what leaves a part spans the classes."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    rng = np.random.default_rng(16)
+    rows = []
+    for f in range(3):
+        base = words(4000, 60).split() + words(4001 + f, 30).split()
+        for i in range(40):
+            w = list(base)
+            for at in rng.choice(len(w), 3 + 7 * (i % 5 == 0), replace=False):
+                w[at] = f"own{f}x{i}x{at}"
+            rows.append((f"{f}-{i:02}", w))
+    hashed = [np.array([zlib.crc32(x.encode()) for x in w]) for _, w in rows]
+    alike = {(rows[i][0], rows[j][0]) for j in range(len(rows)) for i in range(j) if near_dedup.aligned(hashed[i], hashed[j], 0.8)}
+    table = spark.createDataFrame([(n, n, " ".join(w)) for n, w in rows], "node string, label string, text string")
+    pairs = [tuple(r) for r in near_dedup._alike_by_words(table, 0.8).collect()]
+    assert len(pairs) == len(set(pairs)) and alike <= set(pairs) and len(alike) > 10 * len(rows)
+    links = [(r["a"], r["b"]) for r in near_dedup._alike_by_words(table, 0.8, linked=True).collect()]
+    assert set(links) <= alike and len(links) < len(alike) // 2
+
+    def classes(edges):
+        of = {n: n for n, _ in rows}
+        for a, b in edges:
+            low, high = sorted((of[a], of[b]))
+            of = {n: low if c == high else c for n, c in of.items()}
+        return of
+
+    assert classes(links) == classes(alike)
+
+
 def test_alignment_is_that_of_brute_force():
     def longest(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -7,6 +7,9 @@ XOR of a check hash. Sketches of one geometry subtract cell by cell; what both h
 (a cell with one digest left gives it away, it is taken out of its other cells, and so on) recovers the
 digests that differ. A block whose peeling ends with cells left is built anew with wider rows.
 Blocks of a sketch add up to one block, whose cells do not depend on the number of blocks: the fingerprint.
+
+Functions of arrays are interpreted, and `transform` and `zip_with` copy what they return, nested values whole:
+cells are therefore folded, bound by `let` and used up where their block is, none is a column.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ ROUNDS = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, which is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """`body` of `value`, which is computed once: a fold over nothing, which does not copy it."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, _: a, body)
 
 
 def digests(text: Column, piece: int = PIECE) -> Column:
@@ -42,75 +45,87 @@ def blocks_for(count: Column) -> Column:
 
 
 def _slot(d: Column, row: int, width: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(d, 16 + 16 * row).bitwiseAND(F.lit(0xFFFF)), F.lit(width)).cast("int")
+    bits = F.shiftrightunsigned(d, 16 + 16 * row)
+    return (F.pmod(bits.bitwiseAND(F.lit(0xFFFF)), F.lit(width)) if width & (width - 1) else bits.bitwiseAND(F.lit(width - 1).cast("long"))).cast("int")
+
 
+def _cell(n: Column, k: Column, c: Column, *more: Column) -> Column:
+    return F.struct(n.alias("n"), k.alias("k"), c.alias("c"), *more)
 
-def _xor(values: Column, of: Callable[[Column], Column]) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(of(d)))
+
+def _less(p: Column, q: Column, *more: Column) -> Column:
+    return _cell(p["n"] - q["n"], p["k"].bitwiseXOR(q["k"]), p["c"].bitwiseXOR(q["c"]), *more)
 
 
 def block_cells(own: Column, width: int) -> Column:
     """3 * width cells (n, k, c) of the digests of one block."""
+    none = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
-    def cell(mine: Column) -> Column:
-        return F.when(F.size(mine) == 0, F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))).otherwise(F.struct(F.size(mine).alias("n"), _xor(mine, lambda d: d).alias("k"), _xor(mine, lambda d: F.xxhash64(d)).alias("c")))
+    def row(placed: Column, r: int) -> Column:
+        def cell(j: Column) -> Column:
+            return F.aggregate(placed, none, lambda a, p: F.when(p[f"s{r}"] == j, _cell(a["n"] + 1, a["k"].bitwiseXOR(p["k"]), a["c"].bitwiseXOR(p["c"]))).otherwise(a))
 
-    def row(r: int) -> Column:
-        # the digests' slots once, then a cell for each slot
-        placed = F.transform(own, lambda d: F.struct(_slot(d, r, width).alias("s"), d.alias("d")))
-        return let(placed, lambda p: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: let(F.transform(F.filter(p, lambda x: x["s"] == j), lambda x: x["d"]), cell)))
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
 
-    return F.concat(*(row(r) for r in range(3)))
+    # the digests' checks and slots once, then one pass over them for each cell
+    placed = F.transform(own, lambda d: F.struct(d.alias("k"), F.xxhash64(d).alias("c"), *(_slot(d, r, width).alias(f"s{r}") for r in range(3))))
+    return let(placed, lambda p: F.concat(*(row(p, r) for r in range(3))))
 
 
 def dealt(values: Column, blocks: Column) -> Column:
     """array<blocks> of the digests of each block. Dealt in two steps, by the upper and the lower half of a block's bits."""
-    low = F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("int")
-    mask = (blocks - 1).cast("long")
-    groups = F.transform(F.sequence(F.lit(0), (blocks / low).cast("int") - 1), lambda h: F.filter(values, lambda d: F.floor(d.bitwiseAND(mask) / low) == h))
-    return F.flatten(F.transform(groups, lambda g: F.transform(F.sequence(F.lit(0), low - 1), lambda b: F.filter(g, lambda d: d.bitwiseAND((low - 1).cast("long")) == b))))
+    low = F.pow(F.lit(2), F.floor(F.log2(blocks) / 2)).cast("long")
+    none = F.lit(0).cast("long")
+
+    def deal(x: Column, mask: Column, step: Column) -> Column:
+        return let(mask, lambda m: F.transform(F.sequence(none, m, step), lambda h: F.filter(x, lambda d: d.bitwiseAND(m) == h)))
+
+    return let(low, lambda n: F.flatten(F.transform(deal(values, blocks - n, n), lambda g: deal(g, n - 1, F.lit(1).cast("long")))))
+
+
+def subtract(a: Column, b: Column, width: int) -> Column:
+    """The cells in which two blocks differ: their difference, row and slot."""
 
+    def cell(p: Column, q: Column, i: Column) -> Column:
+        row = F.when(i < width, 0).when(i < 2 * width, 1).otherwise(2)
+        return _less(p, q, row.alias("row"), (i % width).alias("slot"))
 
-def sketch(values: Column, width: int) -> Column:
-    """array<blocks> of cells, of digests dealt into blocks."""
-    return F.transform(values, lambda own: block_cells(own, width))
+    return F.filter(let(b, lambda y: F.transform(a, lambda p, i: let(y[i], lambda q: cell(p, q, i)))), _left)
 
 
-def subtract(a: Column, b: Column) -> Column:
-    """The difference of two blocks' cells."""
-    return F.zip_with(a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["c"].bitwiseXOR(q["c"]).alias("c")))
+def _left(c: Column) -> Column:
+    return (c["k"] != 0) | (c["n"] != 0) | (c["c"] != 0)
 
 
 def peel(cells: Column, width: int) -> Column:
     """(left, a, b) of one block's difference: cells left unpeeled, digests of the first and of the second alone."""
-    empty = F.array().cast("array<struct<n:int,k:bigint>>")
+    empty = F.array().cast("array<bigint>")
 
-    def pure(x: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(x, lambda c: (F.abs(c["n"]) == 1) & (c["c"] == F.xxhash64(c["k"]))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
+    def state(cells: Column, a: Column, b: Column, go: bool) -> Column:
+        return F.struct(cells.alias("cells"), a.alias("a"), b.alias("b"), F.lit(go).alias("go"))
 
-    def without(x: Column, gone: Column) -> Column:
-        marked = F.transform(gone, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k"), F.array(*(_slot(p["k"], r, width) + r * width for r in range(3))).alias("at")))
+    def alone(pure: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(F.filter(pure, lambda c: c["n"] == n), lambda c: c["k"]))
 
-        def take(m: Column) -> Column:
-            return F.struct(F.aggregate(m, F.lit(0), lambda a, p: a + p["n"]).alias("n"), _xor(m, lambda p: p["k"]).alias("k"), _xor(m, lambda p: F.xxhash64(p["k"])).alias("c"))
+    def placed(values: Column, n: int) -> Column:
+        return F.transform(values, lambda d: _cell(F.lit(n), d, F.xxhash64(d), F.array(*(_slot(d, r, width) for r in range(3))).alias("slots")))
 
-        def rest(c: Column, i: Column, m: Column) -> Column:
-            mine = F.filter(m, lambda p: F.array_contains(p["at"], i))
-            return let(mine, lambda y: F.when(F.size(y) == 0, c).otherwise(let(take(y), lambda t: F.struct((c["n"] - t["n"]).alias("n"), c["k"].bitwiseXOR(t["k"]).alias("k"), c["c"].bitwiseXOR(t["c"]).alias("c")))))
+    def without(x: Column, gone: Column) -> Column:
+        def rest(c: Column) -> Column:
+            return F.aggregate(gone, c, lambda a, p: F.when(p["slots"][a["row"]] == a["slot"], _less(a, p, a["row"].alias("row"), a["slot"].alias("slot"))).otherwise(a))
 
-        return let(marked, lambda m: F.transform(x, lambda c, i: F.when((c["n"] == 0) & (c["k"] == 0), c).otherwise(rest(c, i, m))))
+        return F.filter(F.transform(x, rest), _left)
 
-    def step(state: Column, _: Column) -> Column:
-        def take(gone: Column) -> Column:
-            return F.when(F.size(gone) == 0, F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("go"))).otherwise(F.struct(without(state["cells"], gone).alias("cells"), F.concat(state["found"], gone).alias("found"), F.lit(True).alias("go")))
+    def step(s: Column, _: Column) -> Column:
+        def take(g: Column) -> Column:
+            gone = F.concat(placed(g["a"], 1), placed(g["b"], -1))
+            return let(gone, lambda m: state(without(s["cells"], m), F.concat(s["a"], g["a"]), F.concat(s["b"], g["b"]), True))
 
-        return F.when(~state["go"], state).otherwise(let(pure(state["cells"]), take))
+        pure = F.filter(s["cells"], lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["c"] == F.xxhash64(c["k"])))
+        found = let(pure, lambda p: F.when(F.size(p) == 0, state(s["cells"], s["a"], s["b"], False)).otherwise(let(F.struct(alone(p, 1).alias("a"), alone(p, -1).alias("b")), take)))
+        return F.when(~s["go"], s).otherwise(found)
 
-    start = F.struct(cells.alias("cells"), empty.alias("found"), F.lit(True).alias("go"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.struct(
-        F.size(F.filter(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))).alias("left"),
-        F.transform(F.filter(s["found"], lambda p: p["n"] == 1), lambda p: p["k"]).alias("a"),
-        F.transform(F.filter(s["found"], lambda p: p["n"] == -1), lambda p: p["k"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, empty, empty, True), step, lambda s: F.struct(F.size(s["cells"]).alias("left"), s["a"].alias("a"), s["b"].alias("b")))
 
 
 def _block_difference(a: Column, b: Column, cells: Column) -> Column:
@@ -118,29 +133,39 @@ def _block_difference(a: Column, b: Column, cells: Column) -> Column:
     exact = F.struct(F.lit(0).alias("left"), F.array_except(a, b).alias("a"), F.array_except(b, a).alias("b"))
 
     def attempt(widths: tuple[int, ...], subtracted: Column) -> Column:
-        wider = attempt(widths[1:], subtract(block_cells(a, widths[1]), block_cells(b, widths[1]))) if len(widths) > 1 else exact
+        wider = attempt(widths[1:], subtract(block_cells(a, widths[1]), block_cells(b, widths[1]), widths[1])) if len(widths) > 1 else exact
         return let(peel(subtracted, widths[0]), lambda p: F.when(p["left"] == 0, p).otherwise(wider))
 
     return attempt(WIDTHS, cells)
 
 
-def difference(a: str, b: str, sa: str, sb: str) -> Column:
-    """(a, b): how many digests only the one, only the other side has. Dealt digests in `a`, `b`, sketches in `sa`, `sb`."""
-    rows = F.transform(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"), F.col(sa).alias("x"), F.col(sb).alias("y")), lambda r: _block_difference(r["a"], r["b"], subtract(r["x"], r["y"])))
-    return let(rows, lambda p: F.struct(F.flatten(F.transform(p, lambda x: x["a"])).alias("a"), F.flatten(F.transform(p, lambda x: x["b"])).alias("b")))
+def apart(own: str, others: list[str]) -> Column:
+    """For each of `others` how many digests only it or only `own` has, from the sketches of their dealt digests. The first one's blocks are built once for all."""
+    width = WIDTHS[0]
+
+    def differences(r: Column) -> Column:
+        def count(x: Column, c: str) -> Column:
+            return let(_block_difference(r[own], r[c], subtract(x, block_cells(r[c], width), width)), lambda p: F.size(p["a"]) + F.size(p["b"]))
+
+        return let(block_cells(r[own], width), lambda x: F.struct(*(count(x, c).alias(c) for c in others)))
+
+    rows = F.transform(F.arrays_zip(own, *others), differences)
+
+    def total(p: Column, c: str) -> Column:
+        return F.aggregate(p, F.lit(0), lambda a, x: a + x[c])
+
+    return let(rows, lambda p: F.struct(*(total(p, c).alias(c) for c in others)))
 
 
-def likeness(count_a: Column, count_b: Column, difference: Column) -> Column:
+def likeness(count_a: Column, count_b: Column, apart: Column) -> Column:
     """Shared share of all distinct digests; 1 for two texts without any."""
-    apart = F.size(difference["a"]) + F.size(difference["b"])
     common = (count_a + count_b - apart) / 2
     return F.when(count_a + count_b == 0, F.lit(1.0)).otherwise(common / (count_a + count_b - common))
 
 
-def fingerprint(sketched: Column) -> Column:
-    """The sum of a sketch's blocks as a string: geometry and two hashes of the cells."""
-    none = F.transform(F.sequence(F.lit(1), F.lit(3 * WIDTHS[0])), lambda _: F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c")))
-    cells = F.aggregate(sketched, none, lambda s, x: F.zip_with(s, x, lambda p, q: F.struct((p["n"] + q["n"]).alias("n"), p["k"].bitwiseXOR(q["k"]).alias("k"), p["c"].bitwiseXOR(q["c"]).alias("c"))))
+def fingerprint(values: Column) -> Column:
+    """The sketch of all digests in one block, to which the blocks of any other add up, as a string: geometry and two hashes of the cells."""
+    cells = block_cells(values, WIDTHS[0])
     return let(cells, lambda c: F.concat(F.lit(f"1x{3 * WIDTHS[0]}-"), F.lower(F.lpad(F.hex(F.xxhash64(c)), 16, "0")), F.lower(F.lpad(F.hex(F.xxhash64(F.lit(1), c)), 16, "0"))))
 
 
@@ -185,11 +210,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sides = ("_own", "_new", "_next")
     rows = rows.withColumn("_blocks", blocks_for(F.greatest(*(F.size(c) for c in sides))))
     rows = rows.withColumns({f"{c}_size": F.size(c) for c in sides} | {f"{c}_dealt": dealt(F.col(c), F.col("_blocks")) for c in sides})
-    rows = rows.withColumns({f"{c}_cells": sketch(F.col(f"{c}_dealt"), WIDTHS[0]) for c in sides})
-    rows = rows.withColumns({f"_d{c}": difference("_own_dealt", f"{c}_dealt", "_own_cells", f"{c}_cells") for c in ("_new", "_next")})
+    rows = rows.withColumn("_apart", apart("_own_dealt", ["_new_dealt", "_next_dealt"]))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own_cells")).alias("fingerprint"), fingerprint(F.col("_new_cells")).alias("edited_fingerprint"),
-        likeness(F.col("_own_size"), F.col("_new_size"), F.col("_d_new")).alias("near_edited"), likeness(F.col("_own_size"), F.col("_next_size"), F.col("_d_next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("_own")).alias("fingerprint"), fingerprint(F.col("_new")).alias("edited_fingerprint"),
+        likeness(F.col("_own_size"), F.col("_new_size"), F.col("_apart._new_dealt")).alias("near_edited"), likeness(F.col("_own_size"), F.col("_next_size"), F.col("_apart._next_dealt")).alias("near_next"),
     )
 
 

@@ -565,6 +565,35 @@ def test_fingerprint_of_a_short_text_is_like_its_edited_one(spark):
     assert all(r["near_edited"] >= 1 / 3 for r in got) and all(r["near_next"] == 0 for r in got)
 
 
+def test_fingerprint_sketches_are_subtracted_and_peeled_block_by_block(spark):
+    rng = np.random.default_rng(9)
+    draw = lambda n: [int(x) for x in rng.integers(-(1 << 63), 1 << 63, n)]
+    shared, width = draw(40), fingerprint.WIDTHS[0]
+    rows = [(k, shared[:k] + draw(a), draw(b) + shared[:k]) for k, a, b in ((0, 0, 0), (0, 1, 0), (0, 0, 1), (8, 0, 0), (40, 3, 2), (0, 8, 8), (40, 30, 1), (5, 90, 60))]
+    df = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    blocks = fingerprint.blocks_for(F.greatest(F.size("a"), F.size("b")))
+    df = df.withColumns({"da": fingerprint.dealt(F.col("a"), blocks), "db": fingerprint.dealt(F.col("b"), blocks)})
+    df = df.withColumns({"whole": fingerprint.block_cells(F.col("a"), width), "parts": F.transform("da", lambda x: fingerprint.block_cells(x, width)), "apart": fingerprint.apart("da", ["db"])})
+    df = df.withColumn("peeled", fingerprint.peel(fingerprint.subtract(fingerprint.block_cells(F.col("a"), 96), fingerprint.block_cells(F.col("b"), 96), 96), 96))
+    for r in df.collect():
+        added = [[0, 0, 0] for _ in range(3 * width)]
+        for block in r["parts"]:
+            for s, c in zip(added, block, strict=True):
+                s[0], s[1], s[2] = s[0] + c["n"], s[1] ^ c["k"], s[2] ^ c["c"]
+        assert added == [list(c) for c in r["whole"]] and sorted(x for block in r["da"] for x in block) == sorted(r["a"])
+        a, b = set(r["a"]), set(r["b"])
+        assert r["apart"]["db"] == len(a ^ b)
+        assert r["peeled"]["left"] == 0 and set(r["peeled"]["a"]) == a - b and set(r["peeled"]["b"]) == b - a
+
+
+def test_fingerprint_sketches_are_no_columns(docs):
+    nodes = [fingerprint.fingerprints(docs)._jdf.queryExecution().analyzed()]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    types = [node.schema().simpleString() for node in nodes]
+    assert any("_own_dealt:array<array<bigint>>" in t for t in types) and not any("array<array<struct" in t for t in types)
+
+
 def test_pipeline_finds_near_copies_in_a_large_bucket(spark, monkeypatch):
     rows = versions(160, 40)
     links = near_dedup.near_links

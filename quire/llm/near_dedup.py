@@ -13,8 +13,9 @@ all pairs of different components are compared. The members of the large ones (t
 passage, mostly) are joined exactly: as a similarity asks for so many words in common, two similar texts
 have one in common among the rarest few of each (prefix filter), at a rank that leaves enough words after it.
 What meets so is held against counts of words in `BINS` bins, which never fall short of the words in common, and what is left
-is aligned. All of it happens within a part of the words, to which the texts go; a pair is looked at in one part alone, that of
-the rarest word it has in common, and only links that join two components there are rows, fewer than the part has texts.
+is aligned. Pairs are found within a part of the words, to which a text's rarest words and counts go, but not the text; a pair is
+taken in one part alone, that of the rarest word it has in common. Only texts of such pairs then go to their part, whole, and only
+links that join two components there are rows, fewer than the part has texts.
 Neither leaves out a pair that alignment would take, whatever the size of the bucket.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut_lineage, parts, read_table, release, text_or_empty
+from quire.llm.common import cut_lineage, parts, read_table, release, text_or_empty, trim
 from quire.llm.components import components
 from quire.llm.words import MULTIPLIER, mix, ragged, slices, split_words
 
@@ -43,8 +44,9 @@ CENTRES = 3
 SMALL_BUCKET = 32
 #: Classes of words by hash, whose counts order words by rarity; bins of a text's counts; texts of a word in one group of the join.
 CLASSES, BINS, GROUP = 1 << 16, 256, 4096
-#: Parts of the join by rare words, at least, and about so many words of texts in one (each may come with a text).
-PARTS, ENTRIES = 16, 50_000
+#: Parts of the join by rare words, at least, about so many words of texts in one (each may come with counts and first words of a
+#: text), and how many of a text's rarest words go to each of its parts.
+PARTS, ENTRIES, FIRST = 16, 100_000, 32
 
 
 def labelled_kmers(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +238,10 @@ def _node_hashes(nodes: list[str]) -> np.ndarray:
 
 
 def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(part, node, label, text, n, bag, keys, places, sides): a row for each text and each part that some of its rarest words fall in.
+    """(part, node, label, n, bag, first, keys, places, sides): a row for each text and each part that some of its rarest words fall in.
 
     A word of many texts is dealt: the texts of one group meet in a part of their own, the texts of two groups in another, as
-    its two sides (0 and 1; 2: all meet all). `bag` has the counts of words in bins.
+    its two sides (0 and 1; 2: all meet all). `bag` has the counts of words in bins, `first` the `FIRST` rarest words.
     """
     total = _part_count(counts, threshold)
 
@@ -253,6 +255,8 @@ def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFr
                 bags = np.bincount(doc * BINS + (words % np.uint64(BINS)).astype(np.int64), minlength=(b - a) * BINS)
                 bags = np.minimum(bags, 0xFF).astype(np.uint8).reshape(b - a, BINS)
                 order, place = _rarest(words, begin, counts, threshold)
+                ends = np.searchsorted(doc[order], np.arange(b - a + 1))
+                rarest = [words[order[lo : min(hi, lo + FIRST)]].tobytes() for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
                 groups = -(-_often(words[order], counts) // GROUP)
                 own = _dealt_to(words[order], groups, _node_hashes(batch.column(0).slice(a, b - a).to_pylist())[doc[order]])
                 entry = np.repeat(np.arange(len(order)), groups)
@@ -265,13 +269,13 @@ def _rare_rows(texts: DataFrame, counts: np.ndarray, threshold: float) -> DataFr
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 who, ends = row[first] // total, pa.array(np.append(first, len(at)), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(key[at].view(np.int64)), pa.array(place[entry][at], pa.int32()), pa.array(side[at], pa.int8()))]
-                out = pa.RecordBatch.from_arrays([pa.array(row[first] % total, pa.int32()), pa.array(n[who], pa.int64()), pa.array([bags[i].tobytes() for i in who], pa.binary()), *lists], names=["part", "n", "bag", "keys", "places", "sides"])
-                for lo, hi in slices([texts[a + i] for i in who]):
-                    there = [batch.column(c).slice(a, b - a).take(pa.array(who[lo:hi])) for c in range(3)]
-                    some = out.slice(lo, hi - lo)
-                    yield pa.RecordBatch.from_arrays([some.column(0), *there, *some.columns[1:]], names=["part", "node", "label", "text", *some.schema.names[1:]])
+                there = [batch.column(c).slice(a, b - a).take(pa.array(who)) for c in range(2)]
+                kept = [pa.array(n[who], pa.int64()), *(pa.array([x[i] for i in who.tolist()], pa.binary()) for x in ([y.tobytes() for y in bags], rarest))]
+                out = pa.RecordBatch.from_arrays([pa.array(row[first] % total, pa.int32()), *there, *kept, *lists], names=["part", "node", "label", "n", "bag", "first", "keys", "places", "sides"])
+                for lo in range(0, out.num_rows, 4096):
+                    yield out.slice(lo, 4096)
 
-    return texts.select("node", "label", "text").mapInArrow(run, "part int, node string, label string, text string, n long, bag binary, keys array<long>, places array<int>, sides array<tinyint>")
+    return texts.select("node", "label", "text").mapInArrow(run, "part int, node string, label string, n long, bag binary, first binary, keys array<long>, places array<int>, sides array<tinyint>")
 
 
 def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bags: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +288,19 @@ def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray
     order = np.argsort(keys, kind="stable")
     keys, text, side = keys[order], text[order], side[order]
     have, ask, label_at = (n[text] - place[order]) - share * n[text] + 1e-9, share * n[text], label[text]
-    met, fresh, held = np.zeros(0, np.int64), [], 0
+    none = np.zeros(0, np.int64)
+    met, fresh, held = none, [], 0
+
+    def sifted() -> np.ndarray:
+        """`met` with those of `fresh` whose bins have enough words in common."""
+        new, fits = np.unique(np.concatenate([none, *fresh])), [np.zeros(0, bool)]
+        for lo in range(0, len(new), 1 << 16):
+            i, j = np.divmod(new[lo : lo + (1 << 16)], len(n))
+            low = np.minimum(bags[i], bags[j])
+            # a count at the end of its type may be any larger one
+            fits.append((low.sum(axis=1, dtype=np.int64) >= share * (n[i] + n[j]) - 1e-9) | (low == 0xFF).any(axis=1))
+        return np.unique(np.concatenate([met, new[np.concatenate(fits)]]))
+
     at, step = np.arange(len(keys)), 1
     while len(at):
         at = at[at + step < len(keys)]
@@ -294,30 +310,20 @@ def meet(keys: np.ndarray, text: np.ndarray, place: np.ndarray, side: np.ndarray
         i, j = text[at[good]], text[to[good]]
         fresh.append(np.where(label[i] < label[j], i * len(n) + j, j * len(n) + i))
         held += len(i)
-        if held > 1 << 21:
-            met, fresh, held = np.unique(np.concatenate([met, *fresh])), [], 0
+        if held > 1 << 20:
+            met, fresh, held = sifted(), [], 0
         step += 1
-    met = np.unique(np.concatenate([met, *fresh]))
-    fits = [np.zeros(0, bool)]
-    for lo in range(0, len(met), 1 << 16):
-        i, j = np.divmod(met[lo : lo + (1 << 16)], len(n))
-        low = np.minimum(bags[i], bags[j])
-        # a count at the end of its type may be any larger one
-        fits.append((low.sum(axis=1, dtype=np.int64) >= share * (n[i] + n[j]) - 1e-9) | (low == 0xFF).any(axis=1))
-    i, j = np.divmod(met[np.concatenate(fits)], max(1, len(n)))
-    return i, j
-
-
-def rarest_in_common(texts: list[str], nodes: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, threshold: float, group: int) -> np.ndarray:
-    """The key under which the texts of each pair (a, b), which have some of their rarest words in common, meet at the first of these."""
-    words, begin = labelled_kmers(texts, 1)
-    at, _ = _rarest(words, begin, counts, threshold)
-    doc = np.repeat(np.arange(len(texts)), np.diff(begin))[at]
-    own = [x.tolist() for x in np.split(words[at], np.searchsorted(doc, np.arange(1, len(texts))))]
-    sets = [set(x) for x in own]
-    first = np.array([next(w for w in own[i] if w in sets[j]) for i, j in zip(a.tolist(), b.tolist())], np.uint64)
-    groups = -(-_often(first, counts) // group)
-    return _meeting_keys(first, groups, _dealt_to(first, groups, nodes[a]), _dealt_to(first, groups, nodes[b]))
+    return np.divmod(sifted(), max(1, len(n)))
+
+
+def rarest_in_common(first: list[list[int]], nodes: np.ndarray, a: np.ndarray, b: np.ndarray, counts: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (a, b) have some of their first words (rarest first) in common, and the key under which the texts of each of these meet at the rarest."""
+    sets = [set(x) for x in first]
+    found = [next((w for w in first[i] if w in sets[j]), None) for i, j in zip(a.tolist(), b.tolist())]
+    there = np.array([w is not None for w in found], bool)
+    word = np.array([w for w in found if w is not None], np.uint64)
+    groups = -(-_often(word, counts) // group)
+    return there, _meeting_keys(word, groups, _dealt_to(word, groups, nodes[a[there]]), _dealt_to(word, groups, nodes[b[there]]))
 
 
 def spanning(words: list[np.ndarray], label: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -344,37 +350,66 @@ def _alike_by_words(texts: DataFrame, threshold: float, linked: bool = False) ->
 
     Words are dealt into parts of about `ENTRIES` entries, a word of more than `GROUP` texts into several; a part's pairs are
     found, sifted and aligned within it, so that neither words nor pairs that fail are rows. A part has fewer links than labels.
+    A text goes to the parts where it is in a pair that is left for alignment, and to no other.
     """
     counts = _class_counts(texts)
     total = _part_count(counts, threshold)
 
-    def run(table: pa.Table) -> pa.Table:
-        node, words = table["node"].combine_chunks(), table["keys"].combine_chunks()
+    def pairs_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The nodes of a part's pairs, and these pairs by their places."""
+        words = table["keys"].combine_chunks()
         label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
         bags = np.frombuffer(b"".join(table["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
         flat = [table[c].combine_chunks().flatten().to_numpy() for c in ("keys", "places", "sides")]
-        text = np.repeat(np.arange(len(node)), words.value_lengths().to_numpy())
+        text = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy())
         a, b = meet(flat[0], text, flat[1], flat[2], label, table["n"].to_numpy(), bags, threshold)
         # texts of pairs alone, by their place among these
         some = np.unique(np.concatenate([a, b]))
-        a, b, label, node = np.searchsorted(some, a), np.searchsorted(some, b), label[some], node.take(pa.array(some))
-        bodies = table["text"].take(pa.array(some)).to_pylist()
+        a, b, node = np.searchsorted(some, a), np.searchsorted(some, b), table["node"].combine_chunks().take(pa.array(some))
         if len(a):
-            keys = rarest_in_common(bodies, _node_hashes(node.to_pylist()), a, b, counts, threshold, GROUP)
-            here = mix(keys) % np.uint64(total) == np.uint64(table["part"][0].as_py())
+            first = [np.frombuffer(x, np.uint64).tolist() for x in table["first"].take(pa.array(some)).to_pylist()]
+            there, keys = rarest_in_common(first, _node_hashes(node.to_pylist()), a, b, counts, GROUP)
+            here = ~there  # a pair whose first words tell nothing is taken wherever it meets
+            here[there] = mix(keys) % np.uint64(total) == np.uint64(table["part"][0].as_py())
             a, b = a[here], b[here]
-        if not linked:
-            return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+        return node, a, b
+
+    def find(table: pa.Table) -> pa.Table:
+        trim()
+        node, a, b = pairs_of(table)
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+
+    def find_texts(table: pa.Table) -> pa.Table:
+        """A row for each text of a pair: its place, and the places of its partners `b`."""
+        trim()
+        node, a, b = pairs_of(table)
+        some, order = np.unique(np.concatenate([a, b])), np.argsort(a, kind="stable")
+        partners = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(a[order], some), len(a)), pa.int32()), pa.array(b[order], pa.int32()))
+        return pa.table({"part": pa.array(np.full(len(some), table["part"][0].as_py()), pa.int32()), "place": pa.array(some, pa.int32()), "node": node.take(pa.array(some)), "partners": partners})
+
+    def align(table: pa.Table) -> pa.Table:
+        trim()
+        table = table.sort_by("place").combine_chunks()
+        node, partners = table["node"].combine_chunks(), table["partners"].combine_chunks()
+        label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)[1]
+        a = np.repeat(np.arange(len(node)), partners.value_lengths().to_numpy())
+        b = np.searchsorted(table["place"].to_numpy(), partners.flatten().to_numpy())
         hashed = []
-        for lo, hi in slices(bodies):
-            w = split_words(bodies[lo:hi])
-            hashed += np.split(w.hashes, w.first[1:-1])
+        for lo in range(0, len(node), 1024):
+            bodies = table["text"].slice(lo, 1024).to_pylist()
+            for x, y in slices(bodies):
+                w = split_words(bodies[x:y])
+                hashed += np.split(w.hashes, w.first[1:-1])
         links = spanning(hashed, label, a, b, threshold)
         a, b, similarity = (pa.array([x[c] for x in links], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
         return pa.table({"a": node.take(a), "b": node.take(b), "similarity": similarity})
 
-    rows = _rare_rows(texts, counts, threshold).repartition(total, "part")
-    return rows.groupBy("part").applyInArrow(run, "a string, b string" + ", similarity double" * linked)
+    rows = _rare_rows(texts, counts, threshold).repartition(total, "part").groupBy("part")
+    if not linked:
+        return rows.applyInArrow(find, "a string, b string")
+    some = rows.applyInArrow(find_texts, "part int, place int, node string, partners array<int>")
+    whole = some.join(texts.select("node", "label", "text"), "node").repartition(total, "part")
+    return whole.groupBy("part").applyInArrow(align, "a string, b string, similarity double")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

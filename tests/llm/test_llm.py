@@ -190,6 +190,27 @@ def test_large_bucket_of_common_kmers_loses_no_link(spark):
     assert {tuple(sorted((int(r["a"]), int(r["b"])))) for r in links} == {(i, 1000 + i) for i in range(40)}
 
 
+@pytest.mark.parametrize("at_a_time", [1, 40, 1 << 18])
+def test_open_windows_are_those_of_brute_force(monkeypatch, at_a_time):
+    """Contexts of few anchors, one with most of them: as many windows at a time as are allowed, the same answer."""
+    monkeypatch.setattr(suffix_dedup, "WINDOWS", at_a_time)
+    rng = np.random.default_rng(18)
+    window, span, count = 12, 5, 120
+    each, off = rng.integers(1, span + 1, count), rng.integers(0, span, count)
+    off = np.minimum(np.maximum(off, each - 1), span - 1)
+    lens = each + window - 1
+    begin = np.cumsum(lens) - lens
+    data = np.concatenate([np.where(rng.random(lens.sum()) < 0.03, 98, 97).astype(np.uint8), np.zeros(8, np.uint8)])
+    h, d, is_open = rng.choice([3, 3, 3, 3, 5, -7], count), rng.integers(0, 20, count), rng.integers(0, 2, count)
+    there = [(c, off[c] - k, h[c], bytes(data[begin[c] + k : begin[c] + k + window])) for c in range(count) for k in range(each[c])]
+    expected = np.zeros(count, np.int64)
+    for c, dist, anchor, w in there:
+        if is_open[c] and any((dist, anchor, w) == x[1:] and d[x[0]] < d[c] for x in there):
+            expected[c] |= 1 << int(dist)
+    got = suffix_dedup.open_windows(data, begin, each, h, d, off, is_open, window, span)
+    assert expected.any() and got.tolist() == expected.tolist()
+
+
 def test_join_by_rare_words_is_that_of_brute_force(spark):
     rng = np.random.default_rng(15)
     texts = []
@@ -209,6 +230,26 @@ def test_join_by_rare_words_is_that_of_brute_force(spark):
     assert len(alike) > 100 and alike <= met
 
 
+def test_texts_go_only_to_the_parts_of_pairs_left_for_alignment(spark):
+    """A text's words lead it to many parts, its body goes to those alone where it is in a pair that alignment looks at."""
+    table = spark.createDataFrame([(f"{i:04}", f"{i:04}", t) for i, t in versions(60, 8)], "node string, label string, text string")
+    counts = near_dedup._class_counts(table)
+    rows = near_dedup._rare_rows(table, counts, 0.8)
+    assert "text" not in rows.columns
+    assert rows.agg(F.max(F.octet_length("bag") + F.octet_length("first"))).first()[0] <= near_dedup.BINS + 8 * near_dedup.FIRST
+    links = near_dedup._alike_by_words(table, 0.8, linked=True)
+    assert {tuple(sorted((int(r["a"]), int(r["b"])))) for r in links.collect()} == {(i, 1000 + i) for i in range(8)}
+
+
+@pytest.mark.parametrize("first", [0, 2])
+def test_first_words_lose_no_pair(spark, monkeypatch, first):
+    """A pair that no first word names is taken wherever it meets."""
+    table = spark.createDataFrame([(f"{i:04}", f"{i:04}", t) for i, t in versions(60, 8)], "node string, label string, text string")
+    whole = {tuple(r) for r in near_dedup._alike_by_words(table, 0.8).collect()}
+    monkeypatch.setattr(near_dedup, "FIRST", first)
+    assert whole and {tuple(r) for r in near_dedup._alike_by_words(table, 0.8).collect()} == whole
+
+
 def test_join_by_rare_words_makes_no_row_of_a_pair_that_fails(spark, monkeypatch):
     """A family of texts in one large bucket: neither words nor pairs are rows, and words dealt into groups give the same pairs."""
     table = spark.createDataFrame([(f"{i:04}", f"{i:04}", t) for i, t in versions(160, 40)], "node string, label string, text string")

@@ -37,6 +37,8 @@ ANCHOR = 20
 BATCH_BYTES = 8 << 20
 PIECE_BYTES = 1 << 20
 PLACE_BITS = 24
+#: Windows of a bucket's open contexts that are laid out at a time, about.
+WINDOWS = 1 << 18
 REMOVE, OPEN, PROVIDER = 1, 2, 4
 
 
@@ -57,6 +59,61 @@ def unpack_numbers(raw: bytes, count: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in planes]
 
 
+def open_windows(data: np.ndarray, begin: np.ndarray, each: np.ndarray, h: np.ndarray, d: np.ndarray, off: np.ndarray, is_open: np.ndarray, window: int, span: int) -> np.ndarray:
+    """By distance from the anchor, the windows that each open context has in common with a document before its own.
+
+    A context has `each` windows from `begin` in `data`, its anchor is `off` bytes after the first; `h` is the anchor, `d` the
+    document. Windows of differing anchors or distances never meet, so about `WINDOWS` are laid out at a time: those of some anchors, or those of
+    an anchor that has more, one distance at a time.
+    """
+    words, masks = _loads(data), np.zeros(len(h), np.int64)
+
+    def settle(own: np.ndarray, least_dist: int, most_dist: int) -> None:
+        low, high = np.maximum(0, off[own] - most_dist), np.minimum(each[own], off[own] - least_dist + 1)
+        count = np.maximum(0, high - low)
+        ctx, start = np.repeat(own, count), ragged(begin[own] + low, count)
+        dist = off[ctx] - (start - begin[ctx])
+        _, group = np.unique(h[ctx] << 8 | dist, return_inverse=True)
+        alive = np.arange(len(ctx))
+        for at in (None, *range(0, window - 7, 8), *([window - 8] if window % 8 else [])):
+            if at is not None:  # one digit: eight bytes
+                digit = words[start[alive] + at]
+                order = np.lexsort((digit, group))
+                alive, group, digit = alive[order], group[order], digit[order]
+                new = np.ones(len(alive), bool)
+                new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+                group = np.cumsum(new) - 1
+            if len(alive):  # groups in which nothing is open, or that one document has alone, are settled
+                n = int(group.max()) + 1
+                opened = np.zeros(n, bool)
+                opened[group[is_open[ctx[alive]] > 0]] = True
+                least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+                np.minimum.at(least, group, d[ctx[alive]])
+                np.maximum.at(most, group, d[ctx[alive]])
+                keep = (opened & (least < most))[group]
+                alive, group = alive[keep], group[keep]
+        if len(alive):
+            least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, d[ctx[alive]])
+            gone = alive[(d[ctx[alive]] > least[group]) & (is_open[ctx[alive]] > 0)]
+            np.bitwise_or.at(masks, ctx[gone], np.int64(1) << dist[gone])
+
+    order = np.argsort(h, kind="stable")
+    edge = np.append(np.flatnonzero(np.diff(h[order], prepend=h[order[:1]] - 1)), len(h))  # anchors begin here
+    until = np.append(0, np.cumsum(each[order]))[edge]
+    k = 0
+    while k < len(edge) - 1:
+        to = max(k + 1, int(np.searchsorted(until, until[k] + WINDOWS, "right")) - 1)
+        own = order[edge[k] : edge[to]]
+        if until[to] - until[k] <= WINDOWS:
+            settle(own, 0, span - 1)
+        else:
+            for dist in range(span):
+                settle(own, dist, dist)
+        k = to
+    return masks
+
+
 @dataclass
 class Batch:
     """Documents of a batch, their runs, and the distinct (anchor, context) entries, sorted."""
@@ -269,36 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
         h, d, lens, off, local, is_open, source = (np.concatenate(x) for x in zip(*cols))
         data = np.concatenate([np.frombuffer(b"".join(raw), np.uint8), np.zeros(8, np.uint8)])
         begin = np.cumsum(lens) - lens
-        each = lens - window + 1
-        ctx = np.repeat(np.arange(len(h)), each)
-        start = ragged(begin, each)
-        dist = off[ctx] - (start - begin[ctx])
-        _, group = np.unique(h[ctx] << 8 | dist, return_inverse=True)
-        words = _loads(data)
-        alive = np.arange(len(ctx))
-        for at in (None, *range(0, window - 7, 8), *([window - 8] if window % 8 else [])):
-            if at is not None:  # one digit: eight bytes
-                digit = words[start[alive] + at]
-                order = np.lexsort((digit, group))
-                alive, group, digit = alive[order], group[order], digit[order]
-                new = np.ones(len(alive), bool)
-                new[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
-                group = np.cumsum(new) - 1
-            if len(alive):  # groups in which nothing is open, or that one document has alone, are settled
-                n = int(group.max()) + 1
-                opened = np.zeros(n, bool)
-                opened[group[is_open[ctx[alive]] > 0]] = True
-                least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-                np.minimum.at(least, group, d[ctx[alive]])
-                np.maximum.at(most, group, d[ctx[alive]])
-                keep = (opened & (least < most))[group]
-                alive, group = alive[keep], group[keep]
-        masks = np.zeros(len(h), np.int64)
-        if len(alive):
-            least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, d[ctx[alive]])
-            gone = alive[(d[ctx[alive]] > least[group]) & (is_open[ctx[alive]] > 0)]
-            np.bitwise_or.at(masks, ctx[gone], np.int64(1) << dist[gone])
+        masks = open_windows(data, begin, lens - window + 1, h, d, off, is_open, window, window - anchor + 1)
         out = [], []
         for i, m in enumerate(ms):
             hit = np.flatnonzero((source == i) & (masks != 0))

@@ -12,6 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt evenly over all cores: a small file is one task, whatever its rows cost to compute."""
+    return df.repartition(max(16, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the session's shared `spark.checkpoint.dir` and read from there; only where that is unset
     (tests, one machine) the folder is our own."""

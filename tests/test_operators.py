@@ -1,4 +1,5 @@
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import Window
@@ -143,3 +144,17 @@ def test_best_matches_of_whole_pages(spark):
     df = lambda rows: spark.createDataFrame(rows, "document string, page int, block_index long, x0 double, y0 double, x1 double, y1 double").select("document", "page", "block_index", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("bbox"))
     got = {(g["page"], g["source_block"]): g["match"] for g in blocks.best_matches(df(a), df(b)).collect()}
     assert got == {(p[1], p[2]): match(p) for p in a} and any(iou(p, q) < 0.05 for p in a for q in b if p[1] == q[1] and q[2] == match(p))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fold_key_is_that_of_unicode(spark):
+    """Characters that fold to several, to one, away; alone and among others."""
+    one, _, gone, many = T.fold_table()
+    texts = [*list(many)[::7], *(f"a{c}{d}B" for c, d in zip(one[::40], list(many)[::11])), *(f"x{c}" for c in gone[::50]), "Straße", "", None]
+    bare = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["k"] for r in df.select("i", T.fold_key(df.t).alias("k")).collect()}
+    assert [got[i] for i in range(len(texts))] == [None if t is None else "".join(map(bare, t.strip("\t\n\x0b\f\r "))).lower() for t in texts]

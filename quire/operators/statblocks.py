@@ -39,10 +39,15 @@ BODY_HINTS = (
 
 def header(t: Column) -> Column:
     """name, subtitle (after the name's first comma), nc_raw, nc of the first header line, whatever its case; null fields where there is none."""
-    part = lambda i: F.nullif(F.trim(F.regexp_extract(t, HEADER, i)), F.lit(""))
-    name, raw = part(1), part(2)
-    piece = lambda p: F.nullif(F.trim(F.regexp_extract(name, p, 1)), F.lit(""))
-    return F.struct(piece("^([^,]*)").alias("name"), piece("^[^,]*,(.*)$").alias("subtitle"), raw.alias("nc_raw"), T.nc_value(raw)["number"].alias("nc"))
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    parts = T.once(t, lambda x: F.array(*(F.trim(F.regexp_extract(x, HEADER, i)) for i in (1, 2))))
+
+    def fields(p: Column) -> Column:
+        name, raw = (F.nullif(p[i], F.lit("")) for i in (0, 1))
+        piece = lambda at: filled(F.regexp_extract(name, at, 1))
+        return F.struct(piece("^([^,]*)").alias("name"), piece("^[^,]*,(.*)$").alias("subtitle"), raw.alias("nc_raw"), T.nc_value(raw)["number"].alias("nc"))
+
+    return T.once(parts, fields)
 
 
 def attributes(t: Column) -> Column:
@@ -69,29 +74,38 @@ def attacks(t: Column) -> Column:
 
 def ability(t: Column) -> Column:
     """(title, text) of an ability's block: a title in capitals before a colon on its first line; null for none."""
-    lines = F.filter(F.transform(F.split(T.strip_layout_glyphs(t), "\n"), T.strip), lambda x: x != "")
-    first = F.get(lines, F.lit(0))
-    title = T.fold_apostrophes(F.regexp_extract(first, ABILITY, 1))
-    body = F.filter(F.concat(F.array(F.trim(F.regexp_extract(first, ABILITY, 2))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), lambda x: x != "")
-    return F.when(first.rlike(ABILITY) & (title != "") & ~title.rlike(NO_ABILITY), F.struct(title.alias("title"), F.array_join(body, "\n").alias("text")))
+
+    def block(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        title = T.fold_apostrophes(F.regexp_extract(first, ABILITY, 1))
+        body = F.filter(F.concat(F.array(F.trim(F.regexp_extract(first, ABILITY, 2))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), lambda x: x != "")
+        return F.when(first.rlike(ABILITY) & (title != "") & ~title.rlike(NO_ABILITY), F.struct(title.alias("title"), F.array_join(body, "\n").alias("text")))
+
+    return T.once(F.filter(F.transform(F.split(T.strip_layout_glyphs(t), "\n"), T.strip), lambda x: x != ""), block)
 
 
 def inline_abilities(t: Column) -> Column:
     """(title, text) of all abilities within a text, in order; after `(I) Init.` where that occurs."""
-    whole = T.strip_layout_glyphs(t)
-    body = F.when(whole.rlike(r"\(I\)\s*Init\."), F.regexp_replace(whole, r"(?s)^.*?\(I\)\s*Init\.", "")).otherwise(whole)
-    titles = F.regexp_extract_all(body, F.lit(INLINE_ABILITY), F.lit(1))
-    texts = F.split(body, INLINE_ABILITY)
-    found = F.transform(F.arrays_zip(titles.alias("t"), F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0))).alias("b")), lambda x: F.struct(T.fold_apostrophes(x["t"]).alias("title"), T.strip(x["b"]).alias("text")))
-    return F.filter(found, lambda x: (x["title"] != "") & ~x["title"].rlike(NO_ABILITY))
+
+    def all_of(body: Column) -> Column:
+        titles = F.regexp_extract_all(body, F.lit(INLINE_ABILITY), F.lit(1))
+        texts = T.once(F.split(body, INLINE_ABILITY), lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))))
+        found = F.transform(F.arrays_zip(titles.alias("t"), texts.alias("b")), lambda x: F.struct(T.fold_apostrophes(x["t"]).alias("title"), T.strip(x["b"]).alias("text")))
+        return F.filter(found, lambda x: (x["title"] != "") & ~x["title"].rlike(NO_ABILITY))
+
+    body = lambda x: F.when(x.rlike(r"\(I\)\s*Init\."), F.regexp_replace(x, r"(?s)^.*?\(I\)\s*Init\.", "")).otherwise(x)
+    return T.once(T.once(T.strip_layout_glyphs(t), body), all_of)
 
 
 def hinted_abilities(t: Column) -> Column:
     """Titles that a text's wording gives away, each once: of its attack line, then of what its body says."""
-    text = T.strip_layout_glyphs(t)
-    first = F.trim(F.get(F.split(text, "\n"), F.lit(0)))
-    attack = F.when(first.rlike(ATTACK_LINE), F.trim(F.get(F.split(first, "·"), F.lit(0))))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(attack, *(F.when(text.rlike(p), title) for p, title in BODY_HINTS)))))
+
+    def titles(text: Column) -> Column:
+        first = F.trim(F.get(F.split(text, "\n"), F.lit(0)))
+        attack = T.once(first, lambda x: F.when(x.rlike(ATTACK_LINE), F.trim(F.get(F.split(x, "·"), F.lit(0)))))
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(attack, *(F.when(text.rlike(p), title) for p, title in BODY_HINTS)))))
+
+    return T.once(T.strip_layout_glyphs(t), titles)
 
 
 def valid_abilities(titles: Column, attack_names: Column) -> Column:
@@ -103,11 +117,11 @@ def valid_abilities(titles: Column, attack_names: Column) -> Column:
 def rulebook_reference(t: Column) -> Column:
     """The profile of the rule book that a text refers to; null for none."""
     flat = F.regexp_replace(T.strip_layout_glyphs(t), r"\s+", " ")
-    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(flat, p, 1)), F.lit("")) for p in PROFILES))
+    return T.once(flat, lambda x: F.coalesce(*(F.nullif(F.trim(F.regexp_extract(x, p, 1)), F.lit("")) for p in PROFILES)))
 
 
-def has_challenge(t: Column) -> Column:
-    return T.strip_layout_glyphs(t).rlike(CHALLENGE)
+def has_challenge(t: Column, stripped: bool = False) -> Column:
+    return (t if stripped else T.strip_layout_glyphs(t)).rlike(CHALLENGE)
 
 
 def is_type_label(t: Column) -> Column:
@@ -115,10 +129,12 @@ def is_type_label(t: Column) -> Column:
 
 
 def is_ability_block(t: Column, bold: Column) -> Column:
-    text = T.strip_layout_glyphs(t)
-    first = F.get(F.split(text, "\n"), F.lit(0))
-    named = F.contains(text, F.lit(":")) & (first.rlike(ABILITY) | (bold & first.rlike(r":\s*$")))
-    return (text != "") & ~is_stats_line(text) & ~text.rlike(CHALLENGE) & (first.rlike(ATTACK_LINE) | (text.rlike(ABILITY_HINT) & bold) | named)
+    def judged(text: Column) -> Column:
+        first = F.get(F.split(text, "\n"), F.lit(0))
+        named = F.contains(text, F.lit(":")) & (first.rlike(ABILITY) | (bold & first.rlike(r":\s*$")))
+        return (text != "") & ~is_stats_line(text) & ~text.rlike(CHALLENGE) & (first.rlike(ATTACK_LINE) | (text.rlike(ABILITY_HINT) & bold) | named)
+
+    return T.once(T.strip_layout_glyphs(t), judged)
 
 
 def is_document_of_stats(blocks: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import statblocks
 from quire.plans.catalogue import query
-from quire.sources.tables import table
+from quire.sources.tables import spread, table
 
 NL = "\n"
 #: A customer's lines with icons, controls, wide spaces, lone W, name lines.
@@ -37,7 +37,7 @@ URLS = "concat(p_name, ' #', CAST(p_partkey AS VARCHAR(20)), '/+é.PDF')"
 @query(f"""SELECT p_partkey, url_encode({URLS}) AS encoded, {URLS} AS decoded, left(regexp_replace(regexp_replace(strip_accents(lower(left({URLS}, length({URLS}) - 4))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 64) AS slug FROM part""")
 def url_names(spark, d):
     t = F.expr(URLS)
-    return table(spark, d, "part").select("p_partkey", T.url_name(t).alias("encoded"), T.from_url_name(T.url_name(t)).alias("decoded"), T.slug_from_filename(t).alias("slug"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", T.url_name(t).alias("encoded"), T.from_url_name(T.url_name(t)).alias("decoded"), T.slug_from_filename(t).alias("slug"))
 
 
 LEAKED = f"concat('Le corps du texte.', '{NL}', upper(p_brand), '{NL}', 'LE ', p_size, '{NL}', p_name, '{NL}', 'Fin')"
@@ -82,8 +82,9 @@ HEADS = f"concat('\ue000', CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE l
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) ELSE lower(p_type) END END AS name, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 0 THEN p_name END AS subtitle, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN concat('1/', p_size) ELSE p_size::VARCHAR END AS nc_raw, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_size END AS nc, p_partkey % 5 <> 0 AS challenge FROM part")
 def stat_headers(spark, d):
-    t = T.strip_layout_glyphs(F.expr(HEADS))
-    return table(spark, d, "part").select("p_partkey", statblocks.header(t).alias("h"), statblocks.has_challenge(t).alias("challenge")).select("p_partkey", "h.*", "challenge")
+    both = T.once(T.strip_layout_glyphs(F.expr(HEADS)), lambda t: F.struct(statblocks.header(t).alias("h"), statblocks.has_challenge(t, stripped=True).alias("challenge")))
+    p = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_name", "p_size"))
+    return p.select("p_partkey", both.alias("b")).select("p_partkey", "b.h.*", "b.challenge")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_size % 7 ELSE -9 END AS agi, -(p_size % 5) AS \"for\", CASE WHEN p_partkey % 4 <> 0 THEN p_size % 3 END AS int, p_size + 10 AS defense, p_size AS vigor, p_size + 1 AS initiative, p_size % 4 AS mana, concat('Griffes|', p_size, '|1d6+', p_size % 4, ';Épée longue|2|2d8') AS attacks FROM part")
@@ -118,7 +119,7 @@ HINTS = f"concat(CASE WHEN p_partkey % 4 = 0 THEN 'Morsure +3 · DM 1d6{NL}' ELS
 
 @query("SELECT p_partkey, concat_ws(';', CASE WHEN p_partkey % 4 = 0 THEN 'Morsure +3' END, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'EMBUSCADE' END, CASE WHEN p_partkey % 3 = 0 THEN 'SENSIBLE À LA LUMIÈRE' END) AS titles FROM part")
 def ability_hints(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(statblocks.hinted_abilities(F.expr(HINTS)), ";").alias("titles"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", F.array_join(statblocks.hinted_abilities(F.expr(HINTS)), ";").alias("titles"))
 
 
 @query("SELECT p_partkey, concat_ws(';', p_type, CASE WHEN p_partkey % 2 = 0 THEN p_brand END, 'ÉLAN') AS kept FROM part")

@@ -62,10 +62,8 @@ def edges_of(edges: DataFrame, a: str, kind: str, b: str) -> DataFrame:
 
 def lookup(df: DataFrame, key_columns: list[str], wanted: Column, fold, id_column: str) -> DataFrame:
     """Rows one of whose folded columns is the folded key, once each, with the number of rows found."""
-    hit = F.lit(False)
-    for c in key_columns:
-        hit = hit | (fold(F.col(c)) == fold(wanted))
-    found = df.where(hit).dropDuplicates([id_column])
+    hit = F.array_contains(F.array(*(fold(F.col(c)) for c in key_columns)), fold(wanted))
+    found = cut(df.where(hit).dropDuplicates([id_column]))  # rows are folded once, for themselves and for their number
     return found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("matches"))))  # one row
 
 

@@ -107,7 +107,7 @@ def reflow_text(spark, d):
 
 @query(r"SELECT c_custkey, strip_accents(lower(trim(c_mktsegment))) AS key, count(*) OVER () AS matches FROM customer WHERE lower(c_mktsegment) = 'building' OR lower(c_name) = 'building'")
 def fold_key_lookup(spark, d):
-    c = table(spark, d, "customer").withColumn("marked", F.translate("c_mktsegment", "UI", "ÜÎ"))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_name").withColumn("marked", F.translate("c_mktsegment", "UI", "ÜÎ"))
     found = catalog.lookup(c, ["marked", "c_name"], F.lit(" Bûilding"), T.fold_key, "c_custkey")
     return found.select("c_custkey", T.fold_key(F.col("marked")).alias("key"), "matches")
 
